@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.ids import bare_id_sql
-from citeloom.llm import components, cooccurrence, packing, tokens
+from citeloom.llm import components, cooccurrence, packing, survivors, tokens
 from citeloom.staging import Stage
 from citeloom.tables import table
 
@@ -27,6 +27,19 @@ def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrence.lifted_pairs(table(spark, d, "papers"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The record whose abstract, venue and year the survivor of each group keeps, each a bundle of its own."""
+    m = survivors.members(p1_found(spark, d), table(spark, d, "papers"))
+    best = survivors.best_bundles(m, {"abstract": ("abstract",), "venue": ("venue",), "year": ("year",)})
+    return best.select("group_id", F.col("bundle").alias("field_name"), "record_id")
+
+
+def p7_bundles(spark: SparkSession, d: str) -> DataFrame:
+    """Survivors with venue and year as one bundle, which must be one that the abstract's value is found with."""
+    m = survivors.members(p1_found(spark, d), table(spark, d, "papers"))
+    return survivors.best_bundles(m, {"abstract": ("abstract",), "published": ("venue", "year")}, [("abstract", "published")])
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return tokens.encode(table(spark, d, "documents"))
@@ -48,7 +61,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sized, windows)
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_scores": p6_scores, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_bundles": p7_bundles, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_containers": p9_containers}
 
 _STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 _P1 = f"""with recursive pairs as (
