@@ -10,7 +10,6 @@ long tail in which no word is hot, is joined by word.
 from __future__ import annotations
 
 import base64
-import functools
 import os
 from collections.abc import Iterator
 
@@ -27,9 +26,8 @@ WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 FREQUENT = 20_000
 
 
-@functools.lru_cache(maxsize=2)
 def encoding(folder: str, name: str = "byte_bpe_50k"):
-    """The tokenizer in a Python worker; every word is one piece to it."""
+    """The tokenizer, loaded once per task; every word is one piece to it."""
     import tiktoken
 
     with open(f"{folder}/{name}.tiktoken", "rb") as f:
