@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.ids import bare_id_sql
-from citeloom.llm import components, cooccurrence, matching, packing, survivors, tokens
+from citeloom.llm import components, cooccurrence, matching, names, packing, survivors, tokens
 from citeloom.staging import Stage
 from citeloom.tables import table
 
@@ -17,6 +17,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return components.connected_components(links)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of author entries that name the same person or organisation."""
+    return names.variant_pairs(table(spark, d, "authors"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records that describe the same work."""
     return matching.match(table(spark, d, "papers")).select("left_id", "right_id")
@@ -71,7 +76,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sized, windows)
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_bundles": p7_bundles, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_bundles": p7_bundles, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_containers": p9_containers}
 
 _STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 _P1 = f"""with recursive pairs as (

@@ -88,8 +88,10 @@ def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     table = word_table(docs, stage, text_column, folder, name, frequent)
     found = _joined(docs, table, ["ids"], id_column, text_column)
     pieces = found.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "ids")).alias("p"))
-    # repeated rows double the positions; sorting brings the doubles together
-    full = pieces.select(F.col("id").alias(id_column), F.flatten(F.transform(F.array_distinct(F.array_sort("p")), lambda x: x["ids"])).alias("ids"))
+    # repeated rows repeat the positions: sorted, every k-th element is a new one
+    k = F.expr("cast(size(p) / (p[size(p) - 1].pos + 1) as int)")
+    once = pieces.select("id", F.array_sort("p").alias("p")).withColumn("k", k)
+    full = once.select(F.col("id").alias(id_column), F.flatten(F.transform(F.filter("p", lambda x, i: i % F.col("k") == 0), lambda x: x["ids"])).alias("ids"))
     empty = docs.filter(F.col(text_column).isNull() | (F.length(text_column) == 0)).select(id_column, F.array().cast("array<int>").alias("ids")).distinct()
     return full.unionByName(empty)
 
