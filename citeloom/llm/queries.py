@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.ids import bare_id_sql
-from citeloom.llm import components, cooccurrence, matching, names, packing, survivors, tokens
+from citeloom.llm import components, cooccurrence, matching, names, packing, subjects, survivors, tokens
 from citeloom.staging import Stage
 from citeloom.tables import table
 
@@ -76,7 +76,22 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sized, windows)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_bundles": p7_bundles, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_containers": p9_containers}
+def _subject_names(spark: SparkSession, d: str) -> list[str]:
+    return [r[0] for r in table(spark, d, "subjects").select("subject").distinct().orderBy("subject").collect()]  # never grows
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects each document is about."""
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"), _subject_names(spark, d))
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by subject, with the sum of the posteriors as their expected number."""
+    p = subjects.classify(table(spark, d, "documents"), table(spark, d, "subject_labels"), _subject_names(spark, d))
+    return p.groupBy("subject").agg(F.count_if(F.col("p") >= 0.5).alias("docs"), F.sum("p").alias("expected"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_bundles": p7_bundles, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_containers": p9_containers, "p10_found": p10_found, "p10_composition": p10_composition}
 
 _STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 _P1 = f"""with recursive pairs as (
