@@ -75,7 +75,7 @@ def phrase_overlap(query: Column, text: Column, most: int = 8) -> Column:
         return F.exists(starts, lambda i: (F.length(F.array_join(F.slice(w, i, n), " ")) > 6) & (F.instr(t, F.array_join(F.slice(w, i, n), " ")) > 0))
 
     longest = F.array_max(F.filter(F.sequence(F.lit(2), F.lit(most)), runs))
-    return F.when((q == "") | t.isNull(), 0.0).when(F.instr(t, q) > 0, 1.0).otherwise(F.coalesce(F.least(F.lit(1.0), 0.55 + 0.12 * longest), F.lit(0.0)))
+    return F.when((q == "") | t.isNull(), 0.0).when(F.instr(t, q) > 0, 1.0).when(longest.isNull(), 0.0).otherwise(F.least(F.lit(1.0), 0.55 + 0.12 * longest))
 
 
 def recency_alignment(year: Column, as_of: int) -> Column:
