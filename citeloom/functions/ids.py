@@ -30,10 +30,10 @@ def bare_id(c: Column) -> Column:
     kind = rf"^(?:{ID_KINDS})\s*:\s*"
     x = F.regexp_replace(F.lower(strip_ws(c)), kind, "")
     address = r"^[a-z][a-z0-9+.\-]*://[^/]+/(?:.*?/)??(10\.[0-9]+/.+|[a-z.\-]+/[0-9]{7}(?:v[0-9]+)?|[^/]+)/*$"
-    x = F.when(F.instr(x, "://") > 0, F.regexp_replace(x, address, "$1")).otherwise(x)
+    x = F.regexp_replace(x, address, "$1")
     x = F.regexp_replace(x, kind, "")
     x = F.regexp_replace(x, r"^([0-9]{4}\.[0-9]{4,5}|[a-z.\-]+/[0-9]{7})v[0-9]+$", "$1")
-    return F.when(x != "", x)
+    return F.nullif(x, F.lit(""))
 
 
 def bare_id_sql(x: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.extract import strip_tags
 from citeloom.functions.ids import bare_id, blank_to_null
-from citeloom.operators.nested import children, parse_record
+from citeloom.operators.nested import children, let, parse_record
 
 
 def _s(v: Column, path: str) -> Column:
@@ -36,7 +36,7 @@ def arxiv_year(arxiv_id: Column) -> Column:
     """The year an arXiv id tells: two digits, from 91 on in the last century; new and old style."""
     x = F.trim(arxiv_id)
     yy = F.coalesce(F.nullif(F.regexp_extract(x, r"^(\d{2})\d{2}\.\d{4,5}", 1), F.lit("")), F.nullif(F.regexp_extract(x, r"^[^/]+/(\d{2})", 1), F.lit(""))).cast("int")
-    return F.when(yy < 91, 2000 + yy).when(yy.isNotNull(), 1900 + yy)
+    return let(yy, lambda y: F.when(y < 91, 2000 + y).when(y.isNotNull(), 1900 + y))
 
 
 def normalize(raw: DataFrame, source: str, source_id: str, payload: str) -> DataFrame:
@@ -45,13 +45,18 @@ def normalize(raw: DataFrame, source: str, source_id: str, payload: str) -> Data
     A missing title becomes a stand-in as each source's answers suggest; years that
     are no numbers are null; references are what the source names them by.
     """
-    r = raw.select(F.lower(F.trim(source)).alias("source"), F.col(source_id).alias("source_id"), parse_record(F.col(payload)).alias("v")).filter("v is not null")
-    v = F.col("v")
+    named = raw.select(F.lower(F.trim(source)).alias("_kind"), F.col(source_id).alias("_id"), F.col(payload).alias("_text"))
+    # parsed once and without a filter on it, which would be pushed down and parse again
+    record = let(parse_record(F.col("_text")), lambda v: F.when(v.isNotNull(), _fields(v, F.col("_kind"))))
+    return named.select(F.col("_kind").alias("source"), F.col("_id").alias("source_id"), F.inline(F.array_compact(F.array(record))))
+
+
+def _fields(v: Column, source: Column) -> Column:
     tail = lambda c: F.element_at(F.split(c, "/"), -1)
     doi = lambda p: bare_id(_s(v, p))
     people = children(v, ("authorships", "author", "authors"))
     name = lambda a: blank_to_null(F.coalesce(_s(a, "$.author.display_name"), _s(a, "$.name"), F.nullif(F.trim(F.concat_ws(" ", F.trim(_s(a, "$.given")), F.trim(_s(a, "$.family")))), F.lit("")), F.try_variant_get(a, "$", "string")))
-    is_ = lambda s: F.col("source") == s
+    is_ = lambda s: source == s
     openalex_refs = F.transform(children(v, ("referenced_works",)), lambda x: F.try_variant_get(x, "$", "string"))
     crossref_refs = F.transform(children(v, ("reference",)), lambda x: F.lower(_s(x, "$.DOI")))
     s2_refs = F.transform(children(v, ("references",)), lambda x: _s(x, "$.paperId"))
@@ -62,9 +67,7 @@ def normalize(raw: DataFrame, source: str, source_id: str, payload: str) -> Data
     title = F.when(is_("crossref"), F.coalesce(_first_text(v, "title", "subtitle", "short-title"), F.concat(F.lit("DOI:"), own_doi))).otherwise(blank_to_null(_s(v, "$.title")))
     empty = F.array().cast("array<string>")
     kind = F.when(is_("openalex"), F.concat(F.lit("openalex:"), F.coalesce(tail(_s(v, "$.id")), F.lit("unknown")))).when(is_("crossref"), F.concat(F.lit("doi:"), F.coalesce(own_doi, F.lit("unknown")))).when(is_("arxiv"), F.concat(F.lit("arxiv:"), aid)).otherwise(F.concat(F.lit("s2:"), F.coalesce(_s(v, "$.paperId"), F.lit("unknown"))))
-    return r.select(
-        "source",
-        "source_id",
+    return F.struct(
         kind.alias("canonical_id"),
         F.coalesce(title, F.lit("untitled")).alias("title"),
         F.coalesce(strip_tags(_s(v, "$.abstract")), blank_to_null(_s(v, "$.summary")), inverted_abstract(F.try_variant_get(v, "$.abstract_inverted_index", "map<string,array<int>>"))).alias("abstract"),
