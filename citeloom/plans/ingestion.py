@@ -323,4 +323,21 @@ select papers, edges, round(edges / papers, 4)::double as density, round(0.5 * y
   case when 0.5 * y / papers + 0.5 * t / papers >= 0.82 then 'Strong' when 0.5 * y / papers + 0.5 * t / papers >= 0.55 then 'Moderate' else 'Weak' end as metadata_level from x""",
     "embedding_cosine_topk": """with p as (select q.vec_id as query_id, a.vec_id as item, round(list_cosine_similarity(a.embedding::double[], q.embedding::double[]), 6) as cosine from embeddings a join embeddings q on q.vec_id % 100 = 0 and a.vec_id <> q.vec_id)
 select query_id, item, cosine, rank::int as rank from (select *, row_number() over (partition by query_id order by cosine desc, item) as rank from p) where rank <= 10""",
+    "citation_snippets": f"""with q as (select source_id, case when json_valid(payload) and json_type(payload) = 'VARCHAR' then payload::json->>'$' else payload end as t from raw_payloads where lower(trim(source)) = 'semantic_scholar'),
+vd as (select source_id, t::json as j from q where case when json_valid(t) then json_type(t) in ('OBJECT', 'ARRAY') else false end),
+fd as (select source_id, case when json_type(j) = 'ARRAY' then j->0 else j end as j from vd),
+rec as (select {bare_id_sql('source_id')} as src, case when json_type(j->'message') = 'OBJECT' then j->'message' when json_type(j->'results'->0) = 'OBJECT' then j->'results'->0 when json_type(j->'data') = 'OBJECT' then j->'data' else j end as v from fd where json_type(j) = 'OBJECT'),
+rf as (select src, case when json_type(v->'references') = 'ARRAY' then v->'references'->'$[*]' when json_type(v->'references') is null or json_type(v->'references') = 'NULL' then [] else [v->'references'] end as a from rec),
+x as (select src, unnest(a) as r, unnest(range(len(a))) as pos from rf),
+y as (select src, pos, {bare_id_sql("coalesce(r->>'paperId', r->'externalIds'->>'any')")} as ref_key, list_filter(list_transform(case when json_type(r->'contexts') = 'ARRAY' then r->'contexts'->'$[*]' else [] end, lambda c: nullif({_SW.format("c->>'$'")}, '')), lambda c: c is not null)[1] as context from x),
+z as (select *, row_number() over (partition by src, ref_key order by pos, context) as rn from y where ref_key is not null and context is not null)
+select src, ref_key, context from z where rn = 1""",
+    "doc_titles": f"""with l as (select doc_id, list_slice(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), 1, 30) as ls from documents where kind = 'fulltext'),
+x as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as i from l),
+k as (select doc_id, line, least(length(line), 180) as n, i from x where length(line) between 12 and 220 and not regexp_matches(line, '^\\d{{4}}\\.\\d{{4,5}}') and not ({' or '.join(f"contains(lower(line), '{w}')" for w in X.NOISE)})),
+b as (select doc_id, line from (select *, row_number() over (partition by doc_id order by n desc, i) as rn from k) where rn = 1)
+select distinct d.doc_id, b.line as title from documents d left join b using (doc_id) where d.kind = 'fulltext'""",
+    "bibtex_entries": f"""with {_N}, x as (select canonical_id, title, list_filter(list_transform(authors, lambda a: a.name), lambda t: coalesce(t, '') <> '') as names, regexp_replace(regexp_replace(regexp_replace(canonical_id, '[^0-9A-Za-z_]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') as k from n)
+select canonical_id, left(if(k = '', 'entry', k), 80) as cite_key, regexp_replace(trim(coalesce(title, 'Untitled')), '([\\\\{{}}%])', '\\\\\\1', 'g') as title,
+  case when len(names) > 0 then array_to_string(list_transform(names, lambda t: regexp_replace(t, '([\\\\{{}}%])', '\\\\\\1', 'g')), ' and ') else 'Unknown' end as author from x""",
 }

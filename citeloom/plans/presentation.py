@@ -9,6 +9,7 @@ from citeloom.functions.ids import bare_id
 from citeloom.operators import branches as B
 from citeloom.operators import graph as G
 from citeloom.operators.ranking import TOPIC_STOP, ranked
+from citeloom.plans.scholarly import SQL as _SCHOLARLY
 from citeloom.plans.scholarly import _C, _DRAWN, _VOC, QUERY, _anchors, _cites, _drawn, _nodes
 from citeloom.tables import table
 
@@ -127,6 +128,8 @@ _TW = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({0}, '')),
 _QTOK = "list_distinct(list_filter(regexp_split_to_array(lower('" + QUERY + "'), '[^a-z0-9_]+'), lambda t: length(t) >= 3 and not list_contains([" + ", ".join(f"'{w}'" for w in S.STOPWORDS) + "], t)))"
 _DEG = "ends as (select src as canonical_id, 1 as o, 0 as i from c union all select dst, 0, 1 from c), deg as (select n.canonical_id, coalesce(sum(i), 0) as in_degree, coalesce(sum(o + i), 0) as degree from n left join ends using (canonical_id) group by 1)"
 
+_REL = _SCHOLARLY["relation_expand_scores"]
+
 SQL = {
     "branch_members": f"with {_R} select query_id, domain, canonical_id, branch_rank::int as branch_rank, branch_size from m where branch_rank <= {B.SHOWN}",
     "branch_summary": f"""with {_R} select query_id, domain, max(branch_size) as size, max(canonical_id) filter (where branch_rank = 1) as central,
@@ -153,4 +156,8 @@ z as (select query_id, avg((hit >= 0.25)::int) as precision, count(*) filter (wh
   max(year) filter (where year between 1900 and 2026 and k <= 20) - min(year) filter (where year between 1900 and 2026 and k <= 20) as span from t where k <= 40 group by 1),
 v as (select *, 0.6 * least(1.0, branches / 4.0) + 0.4 * least(1.0, coalesce(span, 0) / 12.0) as diversity from z)
 select query_id, round(precision, 4)::double as precision, round(noise, 4)::double as noise, round(diversity, 4)::double as diversity, round(0.22 * precision + 0.12 * (1 - noise) + 0.08 * diversity, 4)::double as weighted from v""",
+    "node_flags": f"""{_REL.split("select canonical_id, round(score, 6)")[0]}, miss as (select dst as canonical_id, count(*) as k from e where src in (select anchor from anchors) and dst not in (select anchor from anchors) group by 1),
+v as (select n.canonical_id, ({_VOC})::double as sem, in_degree, coalesce(s.score, 0) as rel, coalesce(k, 0) as k from n join deg using (canonical_id) left join s on s.canonical_id = n.canonical_id and s.score > 1e-9 left join miss on miss.canonical_id = n.canonical_id)
+select canonical_id, coalesce(nullif(concat_ws(',', if(sem >= 0.45, 'query_match', null), if(in_degree >= 8, 'highly_cited', null), if(rel >= 0.35, 'related_to_anchors', null), if(starts_with(canonical_id, 'arxiv:'), 'anchor', null)), ''), 'pool') as reasons,
+  case when sem >= 0.62 then 'core' when sem >= 0.45 then 'near_core' else 'peripheral' end as tier, k >= 3 as is_hub from v""",
 }

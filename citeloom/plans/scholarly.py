@@ -397,4 +397,19 @@ g as (select *, least(4, greatest(1, (n + 5) // 7)) as g from r)
 select canonical_id, rn::int as rank, least(floor((rn - 1) / ceil(n / g)), g - 1)::int as chunk from g""",
     "title_jaccard": f"""with {_PAIRS}, w as (select p.a, p.b, {_JT.format('x.title')} as wa, {_JT.format('y.title')} as wb from p join n x on x.canonical_id = p.a join n y on y.canonical_id = p.b)
 select a, b, round(case when len(list_distinct(wa || wb)) = 0 then 0.0 else len(list_intersect(wa, wb)) / len(list_distinct(wa || wb)) end, 6)::double as jaccard from w""",
+    "pagerank": f"""with recursive {_DRAWN},
+x as (select query_id, src, dst from g where query_id is not null),
+nd as (select distinct query_id, node from (select query_id, src as node from x union all select query_id, dst from x)),
+od as (select query_id, src as node, count(*) as o from x group by 1, 2),
+b as (select nd.query_id, nd.node, od.o, count(*) over (partition by nd.query_id) as n from nd left join od using (query_id, node)),
+pr(k, query_id, node, o, n, rank) as (select 0, query_id, node, o, n, 1.0::double / n from b
+  union all select p.k + 1, p.query_id, p.node, p.o, p.n, 0.15 / p.n + 0.85 * (coalesce(s.got, 0) + sum(if(p.o is null, p.rank, 0)) over (partition by p.query_id) / p.n) from pr p
+  left join (select x.query_id, x.dst, sum(q.rank / q.o) as got from x join pr q on q.query_id = x.query_id and q.node = x.src group by 1, 2) s on s.query_id = p.query_id and s.dst = p.node where p.k < 28)
+select query_id, node, round(rank, 8) as rank from pr where k = 28""",
+    "reading_paths": f"""with recursive {_C},
+ys as (select canonical_id, year from n where year between 1900 and 2100),
+nx as (select e.dst as at, e.src as nxt, year as ny from e join ys on ys.canonical_id = e.src where e.src <> e.dst),
+walk(seed, step, id, year, path) as (select anchor, 1, anchor, year, [anchor] from anchors join ys on ys.canonical_id = anchor
+  union all select seed, step + 1, nxt, ny, list_append(path, nxt) from (select walk.*, nxt, ny, row_number() over (partition by seed order by ny, nxt) as rn from walk join nx on nx.at = walk.id where ny >= walk.year and not list_contains(path, nxt) and step < 5) where rn = 1)
+select seed, step::int as step, id as canonical_id from walk""",
 }
