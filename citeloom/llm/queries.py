@@ -112,8 +112,28 @@ scored as (select item_a, item_b, x.n as n_a, y.n as n_b, n_ab, n_ab * total.n /
   from pairs join n x on x.item = item_a join n y on y.item = item_b, total where n_ab * total.n >= 8 * x.n * y.n)
 """
 
+_STAND = "[" + ", ".join(f"'{x}'" for x in survivors.STAND_INS) + "]"
+_PLAIN = r"trim(regexp_replace(regexp_replace(lower({0}), '<[^>]*>|&amp;|\\[a-z]+', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_NO_MARKS = r"regexp_replace(regexp_replace(lower({0}), '^[\s\p{{P}}]+', ''), '[\s\p{{P}}]+$', '')"
+_TOLD = "({0} is not null and regexp_replace({0}, '\\s+', '', 'g') <> '' and " + _NO_MARKS.replace("{0}", "{0}") + " <> '' and not list_contains(" + _STAND.replace("{", "{{").replace("}", "}}") + ", " + _NO_MARKS.replace("{0}", "{0}") + "))"
+_A, _T = _PLAIN.format("abstract"), _PLAIN.format("coalesce(title, '')")
+_WHOLE = r"(not regexp_matches(regexp_replace(abstract, '(?:</?[a-z:]+>|\s)+$', ''), '(?:\.\.|…|\[\s*\.*\s*\])$') and regexp_matches(regexp_replace(abstract, '(?:</?[a-z:]+>|\s)+$', ''), '[.!?。！？][\x22''”’»)\]]*$'))"
+_SAME = f"(length({_T}) > 0 and ({_A} = {_T} or (abs(length({_A}) - length({_T})) <= length({_T}) * 0.15 and levenshtein(left({_A}, 400), left({_T}, 400)) <= length({_T}) * 0.15)))"
+_RANK = "case lower(trim({0})) when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end"
+_CONF = "coalesce(list_max(list_transform(provenance, lambda p: coalesce(list_max(list_transform(map_entries(p.field_confidence), lambda e: if(lower(trim(e.key)) = '{0}', " + _RANK.format("e.value") + ", 0))), 0))), 0)"
+_SRC = "case lower(trim({0})) when 'crossref' then 4 when 'openalex' then 3 when 'semantic_scholar' then 2 when 'arxiv' then 1 else 0 end"
+_P7 = _P1 + f""", grp as (select min(other) as group_id, node as record_id from reach group by node),
+n as (select * exclude (rn) from (select *, row_number() over (partition by canonical_id order by pos nulls last) as rn from papers where canonical_id is not null) where rn = 1),
+m as (select grp.group_id, n.*, count(*) over (partition by grp.group_id) as members, list_max(list_transform(provenance, lambda p: p.fetched_at)) as newest,
+  coalesce(nullif(coalesce(list_max(list_transform(provenance, lambda p: {_SRC.format('p.source')})), 0), 0), {_SRC.format("replace(split_part(canonical_id, ':', 1), 'doi', 'crossref')")}) as src from grp join n on n.canonical_id = grp.record_id),
+c as (select group_id, 'abstract' as field_name, canonical_id as record_id, {_CONF.format('abstract')} as conf, src, newest from m where members > 1 and {_TOLD.format('abstract')} and {_WHOLE} and not {_SAME}
+  union all select group_id, 'venue', canonical_id, {_CONF.format('venue')}, src, newest from m where members > 1 and {_TOLD.format('venue')}
+  union all select group_id, 'year', canonical_id, {_CONF.format('year')}, src, newest from m where members > 1 and year between 1950 and 2026)
+"""
+
 SQL = {
     "p1_found": _P1 + "select min(other) as group_id, node as record_id from reach group by node",
+    "p7_found": _P7 + "select group_id, field_name, record_id from (select *, row_number() over (partition by group_id, field_name order by conf desc, src desc, newest desc nulls last, record_id) as rn from c) where rn = 1",
     "p6_found": _P6 + "select item_a, item_b from scored",
     "p6_scores": _P6 + "select * from scored",
 }
