@@ -377,3 +377,68 @@ def test_queries_run_on_the_smallest_tables(spark):
 
     for name in ("p2_found", "p5_found", "p7_found", "p9_containers", "p10_found"):
         assert queries.QUERIES[name](spark, SF).count() > 0, name
+
+
+# --- clashing columns and empty tables -----------------------------------------------------------------------
+
+CLASH = "key n a b t h f id ids rid grp unit label rank record_id group_id basket item word form o p g own w v x y e lang labels theta size".split()
+
+
+def with_clashes(df):
+    return df.withColumns({c: F.lit("clash") for c in CLASH if c not in df.columns})
+
+
+def operators():
+    from citeloom.tables import table
+
+    def found(s, d, wrap):
+        t = lambda n: wrap(table(s, d, n))
+        g = components.connected_components(components.accepted_links(t("feedback"), t("validation_audit")))
+        return {
+            "1": g,
+            "2": names.variant_pairs(t("authors")),
+            "5": matching.match(t("papers")).select("left_id", "right_id"),
+            "6": cooccurrence.lifted_pairs(t("papers"), 2, 2).select("item_a", "item_b"),
+            "7": survivors.best_bundles(survivors.members(g, t("papers")), {"abstract": ("abstract",), "published": ("venue", "year")}, [("abstract", "published")]),
+            "8": tokens.encode(t("documents")),
+            "9": packing.pack(tokens.sizes(t("documents"), Stage(s, "t")), [("w", 512)]),
+            "10": subjects.subjects_of(t("documents"), t("subject_labels"), ["computing", "law", "physics"]),
+        }
+
+    return found
+
+
+def test_clashing_columns_change_nothing(spark):
+    found = operators()
+    plain, clash = found(spark, SF, lambda df: df), found(spark, SF, with_clashes)
+    for n, df in plain.items():
+        assert clash[n].columns == df.columns, n
+        assert sorted(map(str, clash[n].collect())) == sorted(map(str, df.collect())), n
+
+
+def test_repeated_rows_change_nothing(spark):
+    found = operators()
+    plain, twice = found(spark, SF, lambda df: df), found(spark, SF, lambda df: df.unionByName(df))
+    for n in ("1", "2", "6", "7", "8"):
+        assert sorted(map(str, twice[n].distinct().collect())) == sorted(map(str, plain[n].distinct().collect())), n
+    assert twice["8"].count() == plain["8"].count()
+
+
+def test_empty_tables_give_empty_results(spark):
+    for n, df in operators()(spark, SF, lambda df: df.limit(0)).items():
+        assert df.count() == 0, n
+
+
+def test_null_rows_do_no_harm(spark):
+    """A row of nulls in every table gives no result of its own, but for the document without an id, which is kept."""
+
+    def wrap(df):
+        return df.unionByName(df.limit(1).select(*[F.lit(None).cast(kind).alias(c) for c, kind in df.dtypes]))
+
+    found = operators()
+    plain, nulls = found(spark, SF, lambda df: df), found(spark, SF, wrap)
+    for n in ("1", "2", "5", "6", "7"):
+        assert sorted(map(str, nulls[n].collect())) == sorted(map(str, plain[n].collect())), n
+    assert nulls["8"].count() == plain["8"].count() + 1
+    assert nulls["9"].count() == plain["9"].count() + 1
+    assert nulls["10"].filter("doc_id is null").count() == 0
