@@ -40,6 +40,7 @@ def tokens(c: Column) -> Column:
 
 def near(t: Column, u: Column) -> Column:
     """Equal, or as alike as a slip or two of the keyboard leave a longer word."""
-    allowed = F.when(F.least(F.length(t), F.length(u)) >= 9, 2).when(F.least(F.length(t), F.length(u)) >= 5, 1).otherwise(0)
-    swap = (F.length(t) == F.length(u)) & (F.length(t) >= 4) & (F.levenshtein(t, u) == 2) & (F.array_sort(F.split(t, "")) == F.array_sort(F.split(u, "")))
-    return (t == u) | ((F.abs(F.length(t) - F.length(u)) <= 2) & ((F.levenshtein(t, u) <= allowed) | swap))
+    n = F.least(F.length(t), F.length(u))
+    d = F.levenshtein(t, u, 2)  # -1 beyond
+    swap = (F.length(t) == F.length(u)) & (n >= 4) & (F.array_sort(F.split(t, "")) == F.array_sort(F.split(u, "")))
+    return (t == u) | F.when(d == 1, n >= 5).when(d == 2, (n >= 9) | swap).otherwise(False)
