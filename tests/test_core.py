@@ -383,3 +383,51 @@ def test_empty_tables(spark, papers):
     e = graph.resolve_references(n)
     assert e.count() == 0 and graph.degrees(n, e).count() == 0 and graph.coupling(e, 2).count() == 0
     assert ranking.ranked(spark.createDataFrame([], "canonical_id string, s double"), "s").count() == 0
+
+
+def test_branches(spark):
+    from citeloom.operators import branches as B
+
+    r = spark.createDataFrame(
+        [("q", "cs", "a", "Graph networks for graphs", 3.0), ("q", "cs", "b", "Graph networks again", 2.0), ("q", "law", "c", None, 1.0), ("q", "law", "d", "A survey of rulings", None)],
+        "query_id string, domain string, canonical_id string, title string, s double",
+    )
+    m = B.members(r, "query_id", "domain", "s")
+    assert rows(m.select("canonical_id", "branch_rank", "branch_size")) == [("a", 1, 2), ("b", 2, 2), ("c", 1, 2), ("d", 2, 2)]
+    c = {x.domain: x.coherence for x in B.coherence(m, "query_id", "domain").collect()}
+    assert c["cs"] == pytest.approx(2 / 5) and c["law"] == 0.0
+    assert {x.domain: x.label for x in B.labels(m, "query_id", "domain", ("graphs",)).collect()}["cs"] == "Graph Networks Again"
+    e = spark.createDataFrame([("q", "a", "c"), ("q", "c", "b"), ("q", "a", "b")], "query_id string, src string, dst string")
+    assert rows(B.bridges(e, m.select("query_id", "canonical_id", "domain"), "query_id", "domain")) == [("q", "cs", "law", 2)]
+
+
+def test_seed_union_and_placeholders(spark):
+    from citeloom.operators import branches as B
+
+    s = lambda r: spark.createDataFrame(r, "key string, source string, pos long")
+    got = rows(B.seed_union(s([("X", "anchor", 5)]), s([("x ", "search", 1), ("y", "search", 2), (None, "search", 3)])))
+    assert got == [("x", "anchor", 5), ("y", "search", 2)]
+    p = B.placeholders(spark.createDataFrame([("a", 0, "k1"), ("a", 1, "k2"), ("b", 0, "k2")], "src string, ref_pos int, key string"))
+    assert rows_n(p.select("canonical_id", "previous")) == [("k1", ""), ("k2", "k1")]
+
+
+def test_greedy_cap_lets_later_smaller_files_in(spark):
+    from citeloom.operators import branches as B
+
+    f = spark.createDataFrame([("p", 1, "a", 6), ("p", 2, "b", 6), ("p", 3, "c", 4)], "key string, pos long, name string, size long")
+    assert [(r.name, r.kept) for r in B.greedy_cap(f, 10).orderBy("name").collect()] == [("a", True), ("b", False), ("c", True)]
+
+
+def test_expansion(spark, papers):
+    from citeloom.operators import expansion as E
+
+    seeds = spark.createDataFrame([("doi", " 1", "api_search", 2), ("DOI", "1", "topic_discovered", 1), ("upload", "z", "api_search", 1), ("upload", "Z", "uploaded_pdf", 9), ("x", "y", None, 1)], "provider string, id string, origin string, pos long")
+    assert rows(E.origin_map(seeds)) == [("doi:1", "discovered"), ("upload:z", "uploaded_pdf"), ("x:y", "discovered")]
+    p = papers([paper("arxiv:2401.00001", 1, references=["W9"], doi="10.1234/a"), paper("openalex:W1", 2, doi="10.1234/A", references=["https://x.example/W3", None]), paper("arxiv:2401.00002", 3)])
+    assert [(r.canonical_id, r.references, r.bridged) for r in E.bridged_references(p).orderBy("canonical_id").collect()] == [("arxiv:2401.00001", ["w3", "w9"], True), ("arxiv:2401.00002", [], False)]
+    n = spark.createDataFrame([("a", 0.9), ("b", 0.1), ("c", 0.5)], "canonical_id string, s double")
+    e = spark.createDataFrame([("a", "c", "high", None), ("a", "b", "high", None), ("c", "a", "LOW ", None), ("c", "a", None, "abstract_proxy"), ("c", "a", None, None)], "src string, dst string, confidence string, context_source string")
+    kept, shown = E.visible(n, e, "s", 0.4, F.lit(False))
+    assert rows(kept.select("canonical_id")) == [("a",), ("c",)] and shown.count() == 2
+    assert one(spark, E.search_title, "Proceedings of the 3rd Workshop on Graphs, pages 1-9") == "3rd Workshop on Graphs"
+    assert one(spark, E.search_title, "Vol") is None
