@@ -116,6 +116,17 @@ def test_acronyms_and_orcids(spark):
     assert [r[0] for r in df.select(names.orcid(F.col("o"))).collect()] == ["0000000218250097", "0000000218250097", None, None, None, "000000021694233X"]
 
 
+def test_forms_with_common_tokens_are_all_judged(spark, monkeypatch):
+    monkeypatch.setattr(names, "COMMON_FORMS", 2)
+    monkeypatch.setattr(names, "COMMON_SHARE", 0.0)
+    forms = ["milan pennechruhart", "milan pennethruhatr", "karoly oste heskonsen", "karoly osteheskonsen", "x wang", "xiaoli wang", "wei wang", "wang", "jun wang", "wang li", "milan novak", "milna novak", "karoly novak", "w li", "wei li", "te novak", "tomas emil novak", "liz novak", "e novak", "elizabeth novak", "chen smith", "cehn smith", "anna smith"]
+    nick = names._nick_table()
+    want = sorted((f, g) for f in forms for g in forms if f < g and names.compatible(f, g, nick) > 0)
+    assert ("milan pennechruhart", "milan pennethruhatr") in want and ("karoly oste heskonsen", "karoly osteheskonsen") in want and ("x wang", "xiaoli wang") in want
+    df = spark.createDataFrame([(f, "") for f in forms], "form string, acronym string")
+    assert rows(names.form_pairs(df, Stage(spark, "common")).select("f", "g")) == want
+
+
 AUTHORS = [
     (1, "Ann Marie Kowalskova", "0000-0002-1825-0097", "University of Brunlo", "x"), (2, "Kowalskova, Ann M.", None, "Brunlo Univ", "x"), (3, "Ann Kowalskova", None, None, "x"),
     (4, "Ann Kowalskova", "0000-0002-1694-233X", "Tech of Zundar", "x"), (5, "Bea Kowalskova", None, "University of Brunlo", "x"), (6, None, None, None, "x"), (7, " ", None, "University of Brunlo", "x"),
