@@ -193,6 +193,30 @@ def test_propagation_equals_brute_force(spark):
     assert got[1, 2] > 0.9 and got[1, 3] < 0.6
 
 
+def test_short_title_meets_its_longer_form(spark, papers):
+    rows_ = [
+        paper("arxiv:1", 0, title="Código fuente y modelos de lenguaje", year=2020), paper("doi:1", 1, title="Código fuente y modelos de lenguaje: el caso de Funsinfa para motores antiguos", year=2012),
+        paper("arxiv:2", 2, title="Grammars"), paper("doi:2", 3, title="Grammars of northern glaciers"), paper("doi:3", 4, title="Funsinfa caso antiguos"), paper("doi:4", 5),
+        paper("doi:5", 6, title="Código fuente y glaciers"),
+    ]
+    stage = Stage(spark, "contained")
+    r = stage.put(matching.records(papers(rows_)))
+    r = r.drop("title").join(matching.weighed(r, "title", len(rows_), stage), "rid", "left")
+    ids = r.select("rid", "canonical_id").collect()
+    of = {x.rid: x.canonical_id for x in ids}
+    got = {tuple(sorted((of[a], of[b]))) for a, b in rows(matching.contained_pairs(r))}
+    assert got == {("arxiv:1", "doi:1"), ("arxiv:2", "doi:2"), ("doi:1", "doi:3")}
+
+
+def test_title_with_longer_form_is_matched(spark, papers):
+    filler = [paper(f"doi:f{i}", 10 + i, title=f"zq{i} xv{i} kj{i}") for i in range(60)]
+    names_ = lambda *n: [{"name": x, "orcid": None} for x in n]
+    short = paper("arxiv:1", 0, title="Código fuente lenguaje", year=2020, authors=names_("Daniel Feneaski"))
+    longer = paper("doi:10.1/long", 1, title="Código fuente lenguaje: el caso de Funsinfa", year=2020, authors=names_("D. Fenemski"))
+    got = rows(matching.match(papers([short, longer, *filler])).select("left_id", "right_id"))
+    assert ("arxiv:1", "doi:10.1/long") in got
+
+
 # --- 6: co-occurrence ----------------------------------------------------------------------------------------
 
 
