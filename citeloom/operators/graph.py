@@ -73,9 +73,12 @@ def coupling(edges: DataFrame, min_shared: int = 2, key: str = "dst") -> DataFra
     Prefix filtering, exact: with the references of each paper in one global order,
     rarest first, two papers that share k of them share one among all but the last
     k - 1, so the most cited works need not make pairs.  Candidates are verified on
-    the full lists.
+    the full lists.  For a single shared reference every pair counts and there is
+    nothing to filter: the pairs are counted as they come.
     """
     e = edges.select("src", F.col(key).alias("dst")).distinct()
+    if min_shared <= 1:
+        return e.select("dst", F.col("src").alias("a")).join(e.select("dst", F.col("src").alias("b")), "dst").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     df = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
     shared = df.filter("n > 1")
     lists = salted_join(e, shared, "dst", "inner", spread="src").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("n", "dst"))).alias("l"))

@@ -58,6 +58,15 @@ def coupling_pairs(spark, d):
     return G.coupling(_cites(spark, d)[1], 3)
 
 
+def cocitation_pairs_all(spark, d):
+    """Every pair with its intersection, as the reference returns it; only pairs that share nothing are left out."""
+    return G.cocitation(_cites(spark, d)[1], 1)
+
+
+def coupling_pairs_all(spark, d):
+    return G.coupling(_cites(spark, d)[1], 1)
+
+
 def _raw_refs(n: DataFrame) -> DataFrame:
     return n.select(F.col("canonical_id").alias("src"), F.explode(F.array_distinct(F.transform("references", bare_id))).alias("ref")).filter("ref is not null")
 
@@ -255,7 +264,7 @@ def title_jaccard(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    resolve_references, edge_context, graph_degrees, cocitation_pairs, coupling_pairs, strong_coupling_edges, relation_expand_scores, missing_links, foundational_refs_3plus,
+    resolve_references, edge_context, graph_degrees, cocitation_pairs, coupling_pairs, cocitation_pairs_all, coupling_pairs_all, strong_coupling_edges, relation_expand_scores, missing_links, foundational_refs_3plus,
     refs_not_in_graph, second_hop_seeds, broaden_pool, edge_confidence_histogram, edge_quality, local_connectivity, hub_suppressed, anchor_hops, pagerank, reading_paths,
     recommend_topk, trend_grouping_sets, domain_distribution, source_summary, identifier_keys, recency_columns, vocabulary_coherence, phrase_overlap, venue_domains,
     title_query_domains, fused_score, diversity_rerank, top10_floor, rank_lock, query_chunks, duplicate_titles_ratio, title_jaccard,
@@ -339,6 +348,8 @@ select src, ref_pos, dst, if(coalesce(contains(ab, wd), false), 'abstract_proxy'
     "graph_degrees": f"with {_D} select canonical_id, in_degree, out_degree, degree from deg",
     "cocitation_pairs": f"with {_C} select x.dst as a, y.dst as b, count(*) as shared from e x join e y on x.src = y.src and x.dst < y.dst group by 1, 2 having count(*) >= 3",
     "coupling_pairs": f"with {_C} select x.src as a, y.src as b, count(*) as shared from e x join e y on x.dst = y.dst and x.src < y.src group by 1, 2 having count(*) >= 3",
+    "cocitation_pairs_all": f"with {_C} select x.dst as a, y.dst as b, count(*) as shared from e x join e y on x.src = y.src and x.dst < y.dst group by 1, 2",
+    "coupling_pairs_all": f"with {_C} select x.src as a, y.src as b, count(*) as shared from e x join e y on x.dst = y.dst and x.src < y.src group by 1, 2",
     "strong_coupling_edges": f"""with {_C}, rr as (select distinct src, key from refs where key is not null)
 select x.src as a, y.src as b, count(*) as shared from rr x join rr y on x.key = y.key and x.src < y.src
 where not exists (select 1 from e where (e.src = x.src and e.dst = y.src) or (e.src = y.src and e.dst = x.src)) group by 1, 2 having count(*) >= 3""",

@@ -431,3 +431,12 @@ def test_expansion(spark, papers):
     assert rows(kept.select("canonical_id")) == [("a",), ("c",)] and shown.count() == 2
     assert one(spark, E.search_title, "Proceedings of the 3rd Workshop on Graphs, pages 1-9") == "3rd Workshop on Graphs"
     assert one(spark, E.search_title, "Vol") is None
+
+
+@pytest.mark.parametrize("name, pairs", [("cocitation_pairs_all", {("c", "d", 1), ("c", "e", 1), ("d", "e", 2)}), ("coupling_pairs_all", {("a", "b", 2)})])
+def test_pairs_that_share_one_or_two_works(spark, papers, tmp_path, name, pairs):
+    import __spark_entry__ as entry
+
+    rows_ = [paper("a", 0, references=["c", "d", "e"]), paper("b", 1, references=["d", "e"]), paper("c", 2), paper("d", 3), paper("e", 4)]
+    papers(rows_).write.parquet(str(tmp_path / "papers.parquet"))
+    assert {(r["a"], r["b"], r["shared"]) for r in entry.queries()[name](spark, str(tmp_path)).collect()} == pairs
