@@ -105,6 +105,18 @@ def broaden_pool(spark, d):
     return G.broaden(e, n, _anchors(n, "seed"), 5, 5)
 
 
+def second_hop_seeds_full(spark, d):
+    """With the reference's cap of 30 references a seed."""
+    n, e = _cites(spark, d)
+    return G.second_hop(e, n, _anchors(n, "seed"))
+
+
+def broaden_pool_full(spark, d):
+    """With the reference's caps of 35 references and 25 citers a seed."""
+    n, e = _cites(spark, d)
+    return G.broaden(e, n, _anchors(n, "seed"))
+
+
 def edge_confidence_histogram(spark, d):
     return G.confidence_histogram(table(spark, d, "edges"))
 
@@ -265,7 +277,7 @@ def title_jaccard(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     resolve_references, edge_context, graph_degrees, cocitation_pairs, coupling_pairs, cocitation_pairs_all, coupling_pairs_all, strong_coupling_edges, relation_expand_scores, missing_links, foundational_refs_3plus,
-    refs_not_in_graph, second_hop_seeds, broaden_pool, edge_confidence_histogram, edge_quality, local_connectivity, hub_suppressed, anchor_hops, pagerank, reading_paths,
+    refs_not_in_graph, second_hop_seeds, broaden_pool, second_hop_seeds_full, broaden_pool_full, edge_confidence_histogram, edge_quality, local_connectivity, hub_suppressed, anchor_hops, pagerank, reading_paths,
     recommend_topk, trend_grouping_sets, domain_distribution, source_summary, identifier_keys, recency_columns, vocabulary_coherence, phrase_overlap, venue_domains,
     title_query_domains, fused_score, diversity_rerank, top10_floor, rank_lock, query_chunks, duplicate_titles_ratio, title_jaccard,
 )}
@@ -371,6 +383,12 @@ select src as parent, dst as canonical_id, rank::int as rank from (select *, row
     "broaden_pool": f"""with {_C}, x as (select src, dst, min(ref_pos) as ref_pos from c group by 1, 2),
 r as (select dst as id, 0 as o from (select *, row_number() over (partition by src order by ref_pos, dst) as k from x where src in (select anchor from anchors)) where k <= 5),
 t as (select src as id, 1 as o from (select *, row_number() over (partition by dst order by src) as k from x where dst in (select anchor from anchors)) where k <= 5)
+select id as canonical_id, if(min(o) = 0, 'reference', 'citer') as origin from (select * from r union all select * from t) where id not in (select anchor from anchors) group by 1""",
+    "second_hop_seeds_full": f"""with {_C}, x as (select src, dst, min(ref_pos) as ref_pos from c where src in (select anchor from anchors) and dst not in (select anchor from anchors) group by 1, 2)
+select src as parent, dst as canonical_id, rank::int as rank from (select *, row_number() over (partition by src order by ref_pos, dst) as rank from x) where rank <= 30""",
+    "broaden_pool_full": f"""with {_C}, x as (select src, dst, min(ref_pos) as ref_pos from c group by 1, 2),
+r as (select dst as id, 0 as o from (select *, row_number() over (partition by src order by ref_pos, dst) as k from x where src in (select anchor from anchors)) where k <= 35),
+t as (select src as id, 1 as o from (select *, row_number() over (partition by dst order by src) as k from x where dst in (select anchor from anchors)) where k <= 25)
 select id as canonical_id, if(min(o) = 0, 'reference', 'citer') as origin from (select * from r union all select * from t) where id not in (select anchor from anchors) group by 1""",
     "edge_confidence_histogram": """with x as (select case when lower(trim(confidence)) in ('high', 'medium', 'low') then lower(trim(confidence)) else 'other' end as confidence from edges)
 select k.confidence, count(x.confidence) as edges from (select unnest(['high', 'medium', 'low', 'other']) as confidence) k left join x using (confidence) group by 1""",

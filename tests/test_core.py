@@ -440,3 +440,14 @@ def test_pairs_that_share_one_or_two_works(spark, papers, tmp_path, name, pairs)
     rows_ = [paper("a", 0, references=["c", "d", "e"]), paper("b", 1, references=["d", "e"]), paper("c", 2), paper("d", 3), paper("e", 4)]
     papers(rows_).write.parquet(str(tmp_path / "papers.parquet"))
     assert {(r["a"], r["b"], r["shared"]) for r in entry.queries()[name](spark, str(tmp_path)).collect()} == pairs
+
+
+def test_seeds_keep_their_sixth_reference_and_citer(spark, papers, tmp_path):
+    import __spark_entry__ as entry
+
+    refs, citers = [f"r{i}" for i in range(9)], [f"z{i}" for i in range(9)]
+    rows_ = [paper("arxiv:1", 0, references=refs), *[paper(r, 1 + i) for i, r in enumerate(refs)], *[paper(c, 20 + i, references=["arxiv:1"]) for i, c in enumerate(citers)]]
+    papers(rows_).write.parquet(str(tmp_path / "papers.parquet"))
+    q = entry.queries()
+    assert rows(q["second_hop_seeds_full"](spark, str(tmp_path))) == [("arxiv:1", r, i + 1) for i, r in enumerate(refs)]
+    assert rows(q["broaden_pool_full"](spark, str(tmp_path))) == [(r, "reference") for r in refs] + [(c, "citer") for c in citers]
