@@ -1,15 +1,18 @@
 """Subject areas of documents: complement naive Bayes, refined by expectation-maximization.
 
-A model is trained on the sentences of labelled documents and refined over those
-of all documents: the expectation step gives every sentence a posterior over the
-subjects (a labelled document's sentences only its own subjects), the
-maximization step counts words and pairs of words by these posteriors.  From the
-final counts every word has a share in each subject and a weight by how much it
-tells; a document's evidence is summed over its words, and independent posteriors
-for the subjects are calibrated by logistic regression on the labelled documents.
+A complement naive Bayes model is trained on the sentences of labelled documents
+and refined over those of all documents: the expectation step gives every sentence
+a posterior over the subjects (a labelled document's sentences only its own
+subjects), the maximization step counts words and pairs of words by these
+posteriors.  A document's share of a subject is the mean of its sentences'
+posteriors, each sentence weighted by its words and by how much its posterior
+tells; one calibrator per subject turns shares into independent posteriors.  The
+calibrators are cross-fitted: a labelled document's shares come from a model whose
+counts leave its own part of the labelled documents out.
 
 Words are hashed into a fixed number of buckets, so the model has a fixed size
-however large the corpus; it is the only thing that reaches the driver.
+however large the corpus; it is the only thing that reaches the driver.  Python
+workers go through a batch in runs of a fixed number of words.
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,12 @@ ALPHA = 0.5
 ROUNDS = 4
 #: Labelled documents used for the calibration, at most; more would not move its few coefficients.
 CALIBRATE = 20_000
+#: Parts of the labelled documents for cross-fitting.
+FOLDS = 3
+#: Words without any meaning that every document is taken to hold besides its own, so that a text that tells next to nothing has no large share.
+SILENT_WORDS = 2.0
+#: Words and pairs that a Python worker takes at once (documents are not parted): bounds its memory.
+RUN = 200_000
 
 
 def sentences(text: Column) -> Column:
@@ -45,14 +53,15 @@ def sentences(text: Column) -> Column:
 
 
 def features(text: Column, buckets: int = BUCKETS) -> Column:
-    """struct<f, lang>: the buckets of the words and of the pairs of neighbouring words of each sentence, and the language."""
+    """struct<f, n, lang>: the buckets of the words and pairs of neighbouring words, sentence after sentence; how many each sentence has; the language."""
 
     def hashed(s: Column) -> Column:
         one = F.transform(s, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
         two = F.transform(s, lambda w, i: F.when(F.get(s, i + 1).isNotNull(), F.pmod(F.xxhash64(w, F.get(s, i + 1)), F.lit(buckets)).cast("int")))
         return F.concat(one, F.array_compact(two))
 
-    return let(sentences(text), lambda s: F.struct(F.transform(s, hashed).alias("f"), let(F.flatten(s), language).alias("lang")))
+    # a sentence of w words has w - 1 pairs
+    return let(sentences(text), lambda s: F.struct(F.flatten(F.transform(s, hashed)).alias("f"), F.transform(s, lambda x: F.size(x) * 2 - 1).alias("n"), language(F.flatten(s)).alias("lang")))
 
 
 #: Frequent words by which a text's language is told, so that a language's common words are not taken
@@ -79,14 +88,26 @@ def _one_of(words: tuple[str, ...]):
     return lambda w: w.isin(*words)
 
 
-def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, sentence of each, document of each sentence) of an Arrow array<array<int>>."""
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    outer = np.diff(lists.offsets.to_numpy())
-    inner = lists.flatten()
-    n = np.diff(inner.offsets.to_numpy())
-    return inner.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(outer)), outer)
+class Run:
+    """Some documents of a batch: buckets of their words, the sentence of each, the document of each sentence."""
+
+    def __init__(self, rows: slice, flat: np.ndarray, of: np.ndarray, doc: np.ndarray):
+        self.rows, self.flat, self.of, self.doc = rows, flat, of, doc
+        self.docs, self.sentences = rows.stop - rows.start, len(doc)
+
+
+def runs(f: pa.Array, n: pa.Array, most: int = RUN) -> Iterator[Run]:
+    """The documents of two Arrow columns in runs of at most ``most`` words; a longer document is a run of its own."""
+    fo, no = f.offsets.to_numpy(), n.offsets.to_numpy()
+    start, rows = 0, len(f)
+    while start < rows:
+        stop = max(int(np.searchsorted(fo, fo[start] + most, "right")) - 1, start + 1)
+        flat = f.values[fo[start] : fo[stop]].to_numpy(zero_copy_only=False)
+        sizes = n.values[no[start] : no[stop]].to_numpy(zero_copy_only=False)
+        if len(flat):
+            doc = np.repeat(np.arange(stop - start, dtype=np.int32), np.diff(no[start : stop + 1]))
+            yield Run(slice(start, stop), flat, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), doc)
+        start = stop
 
 
 def complement_weights(counts: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
@@ -96,18 +117,21 @@ def complement_weights(counts: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
     return (w - w.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
-def posteriors(flat: np.ndarray, of: np.ndarray, doc: np.ndarray, docs: int, weights: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+def sentence_scores(run: Run, weights: np.ndarray) -> np.ndarray:
+    """sentences x subjects: the complement naive Bayes score of each sentence."""
+    return np.stack([np.bincount(run.of, weights=w[run.flat], minlength=run.sentences) for w in weights.T], axis=1)
+
+
+def posteriors(run: Run, weights: np.ndarray, allowed: np.ndarray) -> np.ndarray:
     """Posterior of each sentence over the subjects that ``allowed`` (sentences x subjects) leaves it.
 
     The document's mean over its sentences is the prior of each in a second pass,
     so that a phrase found in documents of every kind follows its documents.
     """
-    k, n = weights.shape[1], len(doc)
-    score = np.stack([np.bincount(of, weights=weights[flat, i], minlength=n) for i in range(k)], axis=1)
-    score = np.where(allowed, score, -np.inf)
+    score = np.where(allowed, sentence_scores(run, weights), -np.inf)
     p = _softmax(score)
-    mean = np.stack([np.bincount(doc, weights=p[:, i], minlength=docs) for i in range(k)], axis=1) / np.maximum(np.bincount(doc, minlength=docs), 1)[:, None]
-    return _softmax(score + 2 * np.log(mean + 0.01)[doc])
+    mean = np.stack([np.bincount(run.doc, weights=c, minlength=run.docs) for c in p.T], axis=1) / np.maximum(np.bincount(run.doc, minlength=run.docs), 1)[:, None]
+    return _softmax(score + 2 * np.log(mean + 0.01)[run.doc])
 
 
 def _softmax(score: np.ndarray) -> np.ndarray:
@@ -123,36 +147,38 @@ def _allowed(masks: np.ndarray, k: int) -> np.ndarray:
 
 
 def count_words(docs: DataFrame, k: int, weights: np.ndarray | None, buckets: int = BUCKETS) -> np.ndarray:
-    """buckets x (k + languages): words by the posteriors of their sentences, and by the language of their texts.
+    """(buckets + languages) x (k + languages): words by the posteriors of their sentences, and by the language of their texts.
 
-    Without weights the labels alone decide.
+    The rows below the buckets hold the words of each language by subject.  Without
+    weights the labels alone decide.  A task sends its whole table once, so tasks
+    are few: four for each core, each reading many parts of the corpus.
     """
     langs = len(LANGUAGES) + 1
     names = [f"c{i}" for i in range(k + langs)]
+    columns = None if weights is None else np.asfortranarray(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the rows below the buckets hold the words of each language by subject
-        total = np.zeros((buckets + langs, k + langs))
+        total = np.zeros((k + langs, buckets + langs))
         for b in batches:
-            flat, of, doc = _flat(b.column("f"))
-            if not len(flat):
-                continue
-            allowed = _allowed(b.column("labels").to_numpy(zero_copy_only=False), k)[doc]
-            lang = b.column("lang").to_numpy(zero_copy_only=False)[doc][of]
-            if weights is None:
-                p = allowed / allowed.sum(axis=1, keepdims=True)
-            else:
-                p = posteriors(flat, of, doc, b.num_rows, weights, allowed)
-            for i in range(k):
-                total[:buckets, i] += np.bincount(flat, weights=p[of, i], minlength=buckets)
-                total[buckets:, i] += np.bincount(lang, weights=p[of, i], minlength=langs)
-            for i in range(langs):
-                total[:buckets, k + i] += np.bincount(flat[lang == i], minlength=buckets)
-        at = np.nonzero(total.sum(axis=1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(total[at, i]) for i in range(k + langs)]], names=["b", *names])
-
-    rows = docs.select("f", "labels", "lang").mapInArrow(run, "b int, " + ", ".join(f"{c} double" for c in names))
-    got = rows.groupBy("b").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # ``buckets`` rows at most
+            masks, lang = b.column("labels").to_numpy(zero_copy_only=False), b.column("lang").to_numpy(zero_copy_only=False)
+            for r in runs(b.column("f"), b.column("n")):
+                allowed = _allowed(masks[r.rows], k)[r.doc]
+                p = allowed / allowed.sum(axis=1, keepdims=True) if columns is None else posteriors(r, columns, allowed)
+                spoken = lang[r.rows][r.doc][r.of]
+                for i in range(k):
+                    share = p[:, i][r.of]
+                    total[i, :buckets] += np.bincount(r.flat, weights=share, minlength=buckets)
+                    total[i, buckets:] += np.bincount(spoken, weights=share, minlength=langs)
+                for i in range(langs):
+                    total[k + i, :buckets] += np.bincount(r.flat[spoken == i], minlength=buckets)
+        at = np.nonzero(total.any(axis=0))[0].astype(np.int32)
+        for i in range(0, len(at), 16_384):
+            part = at[i : i + 16_384]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array(c[part]) for c in total]], names=["b", *names])
+
+    few = docs.select("f", "n", "labels", "lang").coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
+    rows = few.mapInArrow(run, "b int, " + ", ".join(f"{c} double" for c in names))
+    got = rows.groupBy("b").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # the rows of the model
     out = np.zeros((buckets + langs, k + langs))
     if len(got):
         out[got["b"].to_numpy()] = got[names].to_numpy()
@@ -160,73 +186,103 @@ def count_words(docs: DataFrame, k: int, weights: np.ndarray | None, buckets: in
 
 
 def level(counts: np.ndarray, k: int, buckets: int = BUCKETS) -> np.ndarray:
-    """buckets x k: counts put right for how the subjects are spread over the languages that a word occurs in.
-
-    A word as frequent in each subject as its languages are comes out even.
+    """buckets x k: the counts of words by subject as they were if every language were spread over the subjects alike.
+
+    Where the few labelled texts of a language happen to treat one subject, its
+    articles and prepositions would speak for that subject.  A word is expected in a
+    subject as often as the words of its languages are (the mean of the languages'
+    spreads over subjects, by how often each language has the word); its count is
+    divided by that expectation and scaled back to the word's total.  A word as
+    frequent in each subject as its languages are comes out even.
     """
     by_lang = counts[buckets:, :k]
     spread = (by_lang + 0.02 * by_lang.sum(axis=1, keepdims=True) / k + 1e-6) / (by_lang.sum(axis=1, keepdims=True) * 1.02 + k * 1e-6)
     lang = counts[:buckets, k:]
-    mix = lang / np.maximum(lang.sum(axis=1, keepdims=True), 1e-9)
-    expected = mix @ spread
+    expected = (lang / np.maximum(lang.sum(axis=1, keepdims=True), 1e-9)) @ spread
     c = counts[:buckets, :k] / np.maximum(expected * k, 1e-3)
     # the totals stay
     return c * (counts[:buckets, :k].sum(axis=1, keepdims=True) / np.maximum(c.sum(axis=1, keepdims=True), 1e-9))
 
 
-def evidence_table(counts: np.ndarray) -> np.ndarray:
-    """buckets x subjects: a word's share in each subject times how much it tells (1 - normalized entropy, squared)."""
-    rate = counts + 0.02
-    share = rate / rate.sum(axis=1, keepdims=True)
-    entropy = -(share * np.log(share + 1e-12)).sum(axis=1) / np.log(counts.shape[1])
-    known = counts.sum(axis=1) / (counts.sum(axis=1) + 2.0)
-    return (share * ((1 - entropy) ** 2 * known)[:, None]).astype(np.float32)
+def shares(run: Run, weights: np.ndarray) -> np.ndarray:
+    """documents x subjects: the mean of a document's sentence posteriors.
+
+    A sentence counts by its words times the square of what its posterior tells
+    (one minus its entropy); ``SILENT_WORDS`` that tell nothing belong to no subject.
+    """
+    p = _softmax(sentence_scores(run, weights))
+    tells = np.maximum(1 + (p * np.log(p + 1e-12)).sum(axis=1) / np.log(max(p.shape[1], 2)), 0)
+    w = np.bincount(run.of, minlength=run.sentences) * tells**2
+    total = np.bincount(run.doc, weights=w, minlength=run.docs) + SILENT_WORDS
+    return np.stack([np.bincount(run.doc, weights=c * w, minlength=run.docs) for c in p.T], axis=1) / total[:, None]
 
 
-def document_evidence(docs: DataFrame, table: np.ndarray, keep: list[str]) -> DataFrame:
-    """(keep..., e): the summed evidence of each document for each subject."""
-    k = table.shape[1]
+def document_shares(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
+    """(keep..., i, share): the share of every subject (its number) in each document with any words."""
+    columns, k = np.asfortranarray(weights), weights.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat, of, doc = _flat(b.column("f"))
-            e = np.zeros((b.num_rows, k))
-            d = doc[of] if len(flat) else np.zeros(0, dtype=int)
-            for i in range(k):
-                e[:, i] = np.bincount(d, weights=table[flat, i], minlength=b.num_rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b.num_rows + 1) * k, k), pa.int32()), pa.array(e.ravel()))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists], names=[*keep, "e"])
+            for r in runs(b.column("f"), b.column("n")):
+                x = shares(r, columns)
+                at = pa.array(np.repeat(np.arange(r.rows.start, r.rows.stop), k))
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in keep], pa.array(np.tile(np.arange(k, dtype=np.int32), r.docs)), pa.array(x.ravel())], names=[*keep, "i", "share"])
 
-    fields = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in keep)
-    return docs.select(*keep, "f").mapInArrow(run, fields + ", e array<double>")
+    fields = "".join(f"`{c}` {dict(docs.dtypes)[c]}, " for c in keep)
+    return docs.select(*keep, "f", "n").mapInArrow(run, fields + "i int, share double")
 
 
-def regressors(e: np.ndarray) -> np.ndarray:
-    """documents x subjects x 5: what the calibration sees of a document's evidence for a subject."""
-    total = e.sum(axis=1, keepdims=True)
-    share = e / np.maximum(total, 1e-9)
-    top = share.max(axis=1, keepdims=True)
-    return np.stack([np.ones_like(e), share, share * share, np.log(e + 0.05), share / np.maximum(top, 1e-9)], axis=-1)
+def log_odds(share: np.ndarray) -> np.ndarray:
+    return np.log((share + 0.01) / (1.01 - share))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
-    """Coefficients by Newton steps."""
-    w = np.zeros(x.shape[1])
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30, toward: np.ndarray | None = None) -> np.ndarray:
+    """Coefficients by Newton steps, drawn towards ``toward`` (zero if none)."""
+    toward = np.zeros(x.shape[1]) if toward is None else toward
+    w = toward.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
+        g = x.T @ (p - y) + ridge * (w - toward)
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
-        w -= step
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def classify(documents: DataFrame, labels: DataFrame, names: list[str], rounds: int = ROUNDS, buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, subject, p): the posterior of each subject for each document with any words that tell.
+def calibrators(share: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """subjects x (intercept, slope): a logistic regression on the log-odds of the share for each subject.
+
+    Each is drawn towards the regression of all subjects together, by as much as two
+    labelled documents would: a subject with few labels follows the others.
+    """
+    x = np.stack([np.ones_like(share), log_odds(share)], axis=-1)
+    pooled = fit_logistic(x.reshape(-1, 2), y.ravel().astype(float))
+    return np.stack([fit_logistic(x[:, i], y[:, i].astype(float), 2.0, toward=pooled) for i in range(share.shape[1])])
+
+
+def cross_fitted(known: DataFrame, counts: np.ndarray, weights: np.ndarray, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shares, labels) of the labelled documents, each fold's by a model whose counts leave the fold out.
+
+    ``counts`` came of the posteriors under ``weights``, so the fold's own counts under
+    these are what is taken off.
+    """
+    total = known.count()
+    sample = known if total <= CALIBRATE else known.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int(CALIBRATE / total * (1 << 20)))
+    got = []
+    for fold in range(FOLDS):
+        here = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == fold
+        rest = np.maximum(counts - count_words(known.filter(here), k, weights, buckets), 0)
+        x = document_shares(sample.filter(here), complement_weights(level(rest, k, buckets)), ["labels"]).select("labels", "share").toPandas()
+        got.append((x["share"].to_numpy().reshape(-1, k), x["labels"].to_numpy()[::k]))
+    return np.concatenate([g[0] for g in got]), _allowed(np.concatenate([g[1] for g in got]), k)
+
+
+def classify(documents: DataFrame, labels: DataFrame, names: list[str], rounds: int = ROUNDS, buckets: int = BUCKETS, least: float = 0.0) -> DataFrame:
+    """(doc_id, subject, p): the posterior of each subject for each document with any words; those below ``least`` left out.
 
-    Null, blank texts and texts of which no word tells give no row.  Repeated labels
+    Null and blank texts and texts without words give no row.  Repeated labels
     count once, labels of unknown documents or subjects do not count.  Repeated
     documents give one row per subject, the largest posterior.  Without labels
     there is no model and the result is empty.
@@ -235,27 +291,23 @@ def classify(documents: DataFrame, labels: DataFrame, names: list[str], rounds:
     stage = Stage(spark, "subjects")
     bit = F.coalesce(*[F.when(F.col("subject") == s, F.lit(1 << i)) for i, s in enumerate(names)])
     masks = labels.filter(F.col("subject").isin(names)).select("doc_id", bit.alias("bit")).groupBy("doc_id").agg(F.bit_or("bit").cast("long").alias("labels"))
-    docs = documents.select("doc_id", features(F.col("text"), buckets).alias("x")).select("doc_id", "x.*")
-    docs = stage.put(docs.join(masks, "doc_id", "left").select("doc_id", "f", "lang", F.coalesce("labels", F.lit(0)).alias("labels"))).filter("size(f) > 0")
+    docs = documents.select("doc_id", features(F.col("text"), buckets).alias("x")).select("doc_id", "x.*").filter("size(f) > 0")
+    docs = stage.put(docs.join(masks, "doc_id", "left").select("doc_id", "f", "n", "lang", F.coalesce("labels", F.lit(0)).alias("labels")))
     known = stage.put(docs.filter("labels > 0"))
     counts = count_words(known, k, None, buckets)
     if not counts.sum():
         return spark.createDataFrame([], "doc_id long, subject string, p double")
     for _ in range(rounds):
-        counts = count_words(docs, k, complement_weights(level(counts, k, buckets)), buckets)
-    e = stage.put(document_evidence(docs, evidence_table(level(counts, k, buckets)), ["doc_id", "labels"]))
-    sample = e.filter("labels > 0").orderBy(F.xxhash64("doc_id")).limit(CALIBRATE).toPandas()
-    x = regressors(np.array(sample["e"].tolist()))
-    y = _allowed(sample["labels"].to_numpy(), k)
-    w = fit_logistic(x.reshape(-1, x.shape[-1]), y.ravel().astype(float))
-    total = F.aggregate("e", F.lit(0.0), lambda a, v: a + v)
-    scored = e.withColumn("t", F.greatest(total, F.lit(1e-9))).select("doc_id", "t", F.array_max("e").alias("m"), F.posexplode("e").alias("i", "v"))
-    share = F.col("v") / F.col("t")
-    z = w[0] + w[1] * share + w[2] * share * share + w[3] * F.log(F.col("v") + 0.05) + w[4] * F.col("v") / F.greatest("m", F.lit(1e-9))
+        weights = complement_weights(level(counts, k, buckets))
+        counts = count_words(docs, k, weights, buckets)
+    c = calibrators(*cross_fitted(known, counts, weights, k, buckets))
+    found = document_shares(docs, complement_weights(level(counts, k, buckets)), ["doc_id"])
+    a, b = (F.get(F.array(*[F.lit(float(x)) for x in c[:, j]]), F.col("i")) for j in (0, 1))
+    p = 1 / (1 + F.exp(-(a + b * F.log((F.col("share") + 0.01) / (F.lit(1.01) - F.col("share"))))))
     subject = F.get(F.array(*[F.lit(s) for s in names]), F.col("i"))
-    return scored.filter("t > 1e-6").groupBy("doc_id", subject.alias("subject")).agg(F.max(1 / (1 + F.exp(-z))).alias("p"))
+    return found.select("doc_id", subject.alias("subject"), p.alias("p")).filter(F.col("p") >= least).groupBy("doc_id", "subject").agg(F.max("p").alias("p"))
 
 
 def subjects_of(documents: DataFrame, labels: DataFrame, names: list[str], threshold: float = 0.5) -> DataFrame:
     """(doc_id, subject): the subjects whose posterior reaches ``threshold``."""
-    return classify(documents, labels, names).filter(F.col("p") >= threshold).select("doc_id", "subject")
+    return classify(documents, labels, names, least=threshold).select("doc_id", "subject")
