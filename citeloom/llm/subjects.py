@@ -49,7 +49,7 @@ def sentences(text: Column) -> Column:
     t = F.regexp_replace(text, r"<[^>]{1,40}>|&[a-z]+;", " ")
     t = F.regexp_replace(t, r"(?<=\p{L})-\r?\n-?(?=\p{L})", "")
     parts = F.split(fold(t), r"(?<=[.!?;:])\s+|\n\s*\n|\n#|\f")
-    return F.filter(F.transform(parts, lambda s: F.filter(F.split(s, r"(?U)[^\p{L}]+"), lambda w: F.length(w) >= 3)), lambda s: F.size(s) > 0)
+    return F.filter(F.transform(parts, lambda s: F.filter(F.split(s, r"[^\p{L}]+"), lambda w: F.length(w) >= 3)), lambda s: F.size(s) > 0)
 
 
 def features(text: Column, buckets: int = BUCKETS) -> Column:
@@ -291,8 +291,9 @@ def classify(documents: DataFrame, labels: DataFrame, names: list[str], rounds:
     stage = Stage(spark, "subjects")
     bit = F.coalesce(*[F.when(F.col("subject") == s, F.lit(1 << i)) for i, s in enumerate(names)])
     masks = labels.filter(F.col("subject").isin(names)).select("doc_id", bit.alias("bit")).groupBy("doc_id").agg(F.bit_or("bit").cast("long").alias("labels"))
-    docs = documents.select("doc_id", features(F.col("text"), buckets).alias("x")).select("doc_id", "x.*").filter("size(f) > 0")
-    docs = stage.put(docs.join(masks, "doc_id", "left").select("doc_id", "f", "n", "lang", F.coalesce("labels", F.lit(0)).alias("labels")))
+    docs = documents.select("doc_id", features(F.col("text"), buckets).alias("x")).select("doc_id", "x.*")
+    # filtered after it is written: a filter on the features would compute them twice
+    docs = stage.put(docs.join(masks, "doc_id", "left").select("doc_id", "f", "n", "lang", F.coalesce("labels", F.lit(0)).alias("labels"))).filter("size(f) > 0")
     known = stage.put(docs.filter("labels > 0"))
     counts = count_words(known, k, None, buckets)
     if not counts.sum():
