@@ -131,7 +131,23 @@ c as (select group_id, 'abstract' as field_name, canonical_id as record_id, {_CO
   union all select group_id, 'year', canonical_id, {_CONF.format('year')}, src, newest from m where members > 1 and year between 1950 and 2026)
 """
 
+_P7_BUNDLES = _P7 + f""", b as (select group_id, 0 as i, abstract as v, canonical_id as record_id, {_CONF.format('abstract')} + 1 as c1, src as c2, coalesce(greatest(epoch_us(newest), 0) + 1, 0) as c3
+    from m where members > 1 and {_TOLD.format('abstract')} and {_WHOLE} and not {_SAME}
+  union all select group_id, 1, venue || chr(1) || year, canonical_id, least({_CONF.format('venue')}, {_CONF.format('year')}) + 1, src, coalesce(greatest(epoch_us(newest), 0) + 1, 0)
+    from m where members > 1 and {_TOLD.format('venue')} and year between 1950 and 2026),
+v as (select * from (select *, row_number() over (partition by group_id, i, v order by c1 desc, c2 desc, c3 desc, record_id) as rn from b) where rn = 1),
+held as (select distinct x.group_id, x.v as vx, y.v as vy from b x join b y on x.group_id = y.group_id and x.record_id = y.record_id and x.i = 0 and y.i = 1),
+x as (select * from v where i = 0), y as (select * from v where i = 1),
+choices as (
+  select x.group_id, x.record_id as rx, y.record_id as ry, x.c1 + y.c1 as c1, x.c2 + y.c2 as c2, x.c3 + y.c3 as c3 from x join y on x.group_id = y.group_id
+    where exists (select 1 from held h where h.group_id = x.group_id and h.vx = x.v and h.vy = y.v) or not exists (select 1 from held h where h.group_id = x.group_id and h.vx = x.v)
+  union all select group_id, record_id, null, c1, c2, c3 from x
+  union all select group_id, null, record_id, c1, c2, c3 from y),
+best as (select * from (select *, row_number() over (partition by group_id order by c1 desc, c2 desc, c3 desc, rx nulls last, ry nulls last) as rn from choices) where rn = 1)
+"""
+
 SQL = {
+    "p7_bundles": _P7_BUNDLES + "select group_id, 'abstract' as bundle, rx as record_id from best where rx is not null union all select group_id, 'published', ry from best where ry is not null",
     "p1_found": _P1 + "select min(other) as group_id, node as record_id from reach group by node",
     "p7_found": _P7 + "select group_id, field_name, record_id from (select *, row_number() over (partition by group_id, field_name order by conf desc, src desc, newest desc nulls last, record_id) as rn from c) where rn = 1",
     "p6_found": _P6 + "select item_a, item_b from scored",
