@@ -3,8 +3,9 @@
 The tokenizer's own pre-tokenization cuts a text into words that are encoded
 independently, so each distinct word is encoded once and its ids are joined back
 by position.  Word counts are Zipfian: the FREQUENT most frequent words (a fixed
-number) are broadcast and cover most positions without a shuffle; the rest, the
-long tail in which no word is hot, is joined by word.
+number) go to every task, which looks up the words of whole texts at once; only
+the rare positions, a few in a hundred, are exploded, joined by word and put back
+where they came from.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ import base64
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +26,10 @@ from citeloom.staging import Stage
 TOKENIZERS = os.environ.get("CITELOOM_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: how byte_bpe_50k cuts a text into words, white space as Unicode defines it.
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that are broadcast at most; about 2 MB.
-FREQUENT = 20_000
+#: Words that every task gets, at most, and how long they may be; about 1 MB.
+FREQUENT, FREQUENT_CHARS = 20_000, 64
+#: Words that a Python worker looks up at once (texts are not parted): bounds its memory.
+RUN = 300_000
 
 
 def encoding(folder: str, name: str = "byte_bpe_50k"):
@@ -51,29 +57,52 @@ def encode_words(table: DataFrame, folder: str = TOKENIZERS, name: str = "byte_b
     return table.select("word").mapInPandas(run, "word string, ids array<int>")
 
 
-def positions(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, h, pos, word): every word of every text; h tells different texts under one id apart."""
-    text = F.col(text_column)
-    return documents.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("h"), F.posexplode(words(text)).alias("pos", "word"))
+def word_table(documents: DataFrame, stage: Stage, text_column: str = "text", folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+    """(word, n, ids): each distinct word with its count and ids."""
+    counts = stage.put(documents.select(F.explode(words(F.col(text_column))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    return stage.put(counts.join(encode_words(counts, folder, name), "word"))
 
 
-def word_table(documents: DataFrame, stage: Stage, text_column: str = "text", folder: str = TOKENIZERS, name: str = "byte_bpe_50k", frequent: int = FREQUENT) -> DataFrame:
-    """(word, n, ids, top): each distinct word with its count, ids and whether it is among the ``frequent`` most frequent."""
-    counts = stage.put(documents.select(F.explode(words(F.col(text_column))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).select("word", F.lit(True).alias("top"))
-    known = counts.join(F.broadcast(top), "word", "left").select("word", "n", F.coalesce("top", F.lit(False)).alias("top"))
-    return stage.put(known.join(encode_words(counts, folder, name), "word"))
+class Frequent:
+    """The most frequent words of a word table with their ids, as flat arrays; FREQUENT short words at most."""
+
+    def __init__(self, table: DataFrame, most: int = FREQUENT):
+        top = table.filter(F.length("word") <= FREQUENT_CHARS).orderBy(F.desc("n"), "word").limit(most).select("word", "ids").collect()
+        self.words = [r["word"] for r in top]
+        self.sizes = np.array([len(r["ids"]) for r in top] or [0], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.ids = np.array([i for r in top for i in r["ids"]], dtype=np.int32)
 
 
-def _joined(documents: DataFrame, table: DataFrame, columns: list[str], id_column: str, text_column: str) -> DataFrame:
-    """positions() with ``columns`` of the word table: frequent words by broadcast, the rest by a shuffle on the word."""
-    at = positions(documents, id_column, text_column)
-    top = F.broadcast(table.filter("top").select("word", *columns))
-    rest = table.filter("not top").select("word", *columns)
-    marked = at.join(top, "word", "left")
-    common = marked.filter(F.col(columns[0]).isNotNull())
-    rare = marked.filter(F.col(columns[0]).isNull()).select("id", "h", "pos", "word").join(rest, "word")
-    return common.unionByName(rare)
+def looked_up(documents: DataFrame, known: Frequent, id_column: str, text_column: str) -> DataFrame:
+    """(id, h, part, at, rare): of every text with words, the ids of its frequent words, and its rare words with the number of ids in ``part`` before each.
+
+    h tells different texts under one id apart.
+    """
+    docs = documents.filter(F.length(text_column) > 0).select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("h"), words(F.col(text_column)).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = pa.array(known.words, pa.string())
+        for batch in batches:
+            ends, start = batch.column("w").offsets.to_numpy(), 0
+            while start < batch.num_rows:
+                stop = max(int(np.searchsorted(ends, ends[start] + RUN, "right")) - 1, start + 1)
+                b, start = batch.slice(start, stop - start), stop
+                lists = b.column("w")
+                flat, off = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                at = pc.fill_null(pc.index_in(flat, value_set=values), -1).to_numpy()
+                size = np.where(at >= 0, known.sizes[at], 0)
+                before = np.concatenate([[0], np.cumsum(size)])
+                ids = known.ids[np.repeat(known.starts[at] - before[:-1], size) + np.arange(before[-1])] if before[-1] else known.ids[:0]
+                rare = np.nonzero(at < 0)[0]
+                part, rares = before[off].astype(np.int32), np.searchsorted(rare, off).astype(np.int32)
+                place = before[rare] - before[off][np.searchsorted(off, rare, "right") - 1]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id"), b.column("h"), pa.ListArray.from_arrays(part, pa.array(ids)), pa.ListArray.from_arrays(rares, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(rares, flat.take(pa.array(rare)))],
+                    names=["id", "h", "part", "at", "rare"],
+                )
+
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, h bigint, part array<int>, at array<int>, rare array<string>")
 
 
 def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", folder: str = TOKENIZERS, name: str = "byte_bpe_50k", frequent: int = FREQUENT) -> DataFrame:
@@ -85,13 +114,19 @@ def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     stage = Stage(documents.sparkSession, "tokens")
     docs = documents.select(F.col(id_column).alias(id_column), F.col(text_column).alias(text_column))
-    table = word_table(docs, stage, text_column, folder, name, frequent)
-    found = _joined(docs, table, ["ids"], id_column, text_column)
-    pieces = found.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "ids")).alias("p"))
-    # repeated rows repeat the positions: sorted, every k-th element is a new one
-    k = F.expr("cast(size(p) / (p[size(p) - 1].pos + 1) as int)")
-    once = pieces.select("id", F.array_sort("p").alias("p")).withColumn("k", k)
-    full = once.select(F.col("id").alias(id_column), F.flatten(F.transform(F.filter("p", lambda x, i: i % F.col("k") == 0), lambda x: x["ids"])).alias("ids"))
+    table = word_table(docs, stage, text_column, folder, name)
+    # found once: read for the rare words and for the rest
+    found = stage.put(looked_up(docs, Frequent(table, frequent), id_column, text_column))
+    rare = found.select("id", "h", F.posexplode("rare").alias("k", "word")).join(table.select("word", "ids"), "word")
+    rare = rare.groupBy(F.struct("id", "h").alias("doc")).agg(F.array_sort(F.collect_set(F.struct("k", "ids"))).alias("r"))
+    whole = found.filter("size(rare) = 0").select("id", "h", F.col("part").alias("ids"))
+    prev = lambda i: F.when(i == 0, 0).otherwise(F.get("at", i - 1))
+    filled = F.flatten(F.transform("r", lambda x, i: F.concat(F.slice("part", prev(i) + 1, F.get("at", i) - prev(i)), x["ids"])))
+    last = F.element_at("at", -1)
+    some = found.filter("size(rare) > 0").select(F.struct("id", "h").alias("doc"), "part", "at").join(rare, "doc")
+    some = some.select("doc.id", "doc.h", F.concat(filled, F.slice("part", last + 1, F.size("part") - last)).alias("ids"))
+    # repeated rows: the texts themselves are not compared again
+    full = whole.unionByName(some).dropDuplicates(["id", "h"]).select(F.col("id").alias(id_column), "ids")
     empty = docs.filter(F.col(text_column).isNull() | (F.length(text_column) == 0)).select(id_column, F.array().cast("array<int>").alias("ids")).distinct()
     return full.unionByName(empty)
 
@@ -102,11 +137,12 @@ def sizes(documents: DataFrame, stage: Stage, id_column: str = "doc_id", text_co
     One row per id: of several texts under one id, the longest in tokens.
     """
     docs = documents.select(F.col(id_column).alias(id_column), F.col(text_column).alias(text_column))
-    table = word_table(docs, stage, text_column, folder, name, frequent).select("word", "top", F.size("ids").alias("k"))
-    found = _joined(docs, table, ["k"], id_column, text_column)
-    # a repeated row doubles every position: the number of positions against the last one tells how often
-    per = found.groupBy("id", "h").agg(F.sum("k").alias("s"), F.count(F.lit(1)).alias("c"), F.max("pos").alias("m"))
-    full = per.select(F.col("id").alias(id_column), (F.col("s") * (F.col("m") + 1) / F.col("c")).cast("long").alias("n"))
+    table = word_table(docs, stage, text_column, folder, name)
+    found = stage.put(looked_up(docs, Frequent(table, frequent), id_column, text_column).select("id", "h", F.size("part").alias("n"), "rare"))
+    rare = found.select("id", "h", F.posexplode("rare").alias("k", "word")).distinct().join(table.select("word", F.size("ids").alias("n")), "word")
+    # a repeated row repeats the number of its frequent ids, which counts once
+    parts = found.select("id", "h", "n").distinct().unionByName(rare.select("id", "h", "n"))
+    full = parts.groupBy("id", "h").agg(F.sum("n").cast("long").alias("n")).select(F.col("id").alias(id_column), "n")
     empty = docs.filter(F.col(text_column).isNull() | (F.length(text_column) == 0)).select(id_column, F.lit(0).cast("long").alias("n"))
     return full.unionByName(empty).groupBy(id_column).agg(F.max("n").alias("n_tokens"))
 
