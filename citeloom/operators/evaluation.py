@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,22 +48,29 @@ def health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+#: Query vectors that are broadcast at once.
+BLOCK = 100_000
+
+
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query_id, item, cosine, rank): the k nearest of all rows for each query vector, itself left out.
 
-    A stated set of queries against all rows: the queries (checked, 100,000 at most)
-    are broadcast; every task keeps the k best of each before anything is shuffled.
-    Null and zero vectors are near nothing.
+    A stated set of queries against all rows: the queries are broadcast in blocks of
+    ``block`` at most; every task keeps the k best of each before anything is
+    shuffled.  Null and zero vectors are near nothing.
     """
-    from pyspark.sql import Window
-
-    if queries.limit(100_001).count() > 100_000:
-        raise ValueError("more than 100,000 query vectors; search them in blocks")
     unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
     ok = f"{column} is not null and exists({column}, x -> x <> 0)"
     a = vectors.filter(ok).select(F.col(id_column).alias("item"), unit(F.col(column)).alias("v"))
     q = queries.filter(ok).select(F.col(id_column).alias("query_id"), unit(F.col(column)).alias("q"))
-    pairs = a.join(F.broadcast(q), F.col("item") != F.col("query_id"))
+    # blocks by hash: one for each half ``block`` of the queries, so that none comes near ``block``
+    blocks = -(-2 * q.count() // block) if q.limit(block // 2 + 1).count() > block // 2 else 1
+    parts = [q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else q for i in range(blocks)]
     dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "item")
-    return pairs.select("query_id", "item", F.round(dot, 6).alias("cosine")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    def nearest(part: DataFrame) -> DataFrame:
+        pairs = a.join(F.broadcast(part), F.col("item") != F.col("query_id"))
+        return pairs.select("query_id", "item", F.round(dot, 6).alias("cosine")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, [nearest(p) for p in parts])

@@ -8,6 +8,8 @@ that prefix filtering may skip.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -110,16 +112,27 @@ def relation_scores(n: DataFrame, edges: DataFrame, anchors: DataFrame, w_direct
     direct = both.join(anchors, "anchor").join(deg("c"), "c").join(deg("anchor"), "anchor")
     direct = direct.select("c", (F.lit(w_direct) / root(F.col("d_c"), F.col("d_anchor"))).alias("s"), F.lit(1).alias("hit"), F.lit(0).cast("long").alias("cpl"), F.lit(0).cast("long").alias("coc"))
 
-    def shared(own: str, other: str, weight: float, kind: str) -> DataFrame:
-        """Anchors are the small side; sizes are of the full neighbour sets."""
-        size = e.groupBy(own).agg(F.count(F.lit(1)).alias("k"))
-        at = e.join(anchors.withColumnRenamed("anchor", own), own).select(F.col(own).alias("anchor"), other)
-        p = at.join(e.select(F.col(own).alias("c"), other), other).filter("c <> anchor").groupBy("c", "anchor").agg(F.count(F.lit(1)).alias("x"))
-        p = p.join(size.select(F.col(own).alias("c"), F.col("k").alias("kc")), "c").join(size.select(F.col(own).alias("anchor"), F.col("k").alias("ka")), "anchor")
-        z = F.lit(0).cast("long")
-        return p.select("c", (F.lit(weight) * F.col("x") / root(F.col("kc"), F.col("ka"))).alias("s"), F.lit(0).alias("hit"), (F.col("x") if kind == "cpl" else z).alias("cpl"), (F.col("x") if kind == "coc" else z).alias("coc"))
-
-    parts = direct.unionByName(shared("src", "dst", w_coupling, "cpl")).unionByName(shared("dst", "src", w_cocitation, "coc"))
+    z = F.lit(0).cast("long")
+    part = lambda s, cpl, coc: ("c", s.alias("s"), F.lit(0).alias("hit"), cpl.alias("cpl"), coc.alias("coc"))
+    # shared references: an anchor adds x / sqrt(kc * ka) for its x works shared with c; summed over the anchors that is the sum, over the works
+    # of c, of what the anchors citing each are worth, so hot works make no pairs
+    size = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
+    worth = e.join(anchors.withColumnRenamed("anchor", "src"), "src").join(size, "src").groupBy("dst").agg(F.sum(1.0 / F.sqrt("k")).alias("w"))
+    coupled = salted_join(e, worth, "dst", "inner", spread="src").groupBy("src").agg(F.sum("w").alias("w")).join(size, "src")
+    coupled = coupled.select(F.col("src").alias("c"), (F.lit(w_coupling) * F.col("w") / F.sqrt("k")).alias("s"))
+    # the most works shared with one anchor: pairs that share two or more by prefix filtering, one where there is none
+    two = coupling(e, 2)
+    most = two.select(F.col("a").alias("c"), F.col("b").alias("anchor"), "shared").unionByName(two.select(F.col("b").alias("c"), F.col("a").alias("anchor"), "shared"))
+    most = most.join(anchors, "anchor", "left_semi").groupBy("c").agg(F.max("shared").alias("x"))
+    coupled = coupled.join(most, "c", "left").select(*part(F.col("s"), F.coalesce("x", F.lit(1).cast("long")), z))
+    # shared citers: pairs within one reference list
+    size = e.groupBy("dst").agg(F.count(F.lit(1)).alias("k"))
+    at = e.join(anchors.withColumnRenamed("anchor", "dst"), "dst").select(F.col("dst").alias("anchor"), "src")
+    cited = at.join(e.select(F.col("dst").alias("c"), "src"), "src").filter("c <> anchor").groupBy("c", "anchor").agg(F.count(F.lit(1)).alias("x"))
+    cited = cited.join(size.select(F.col("dst").alias("c"), F.col("k").alias("kc")), "c").join(size.select(F.col("dst").alias("anchor"), F.col("k").alias("ka")), "anchor")
+    cited = cited.select(*part(F.lit(w_cocitation) * F.col("x") / root(F.col("kc"), F.col("ka")), z, F.col("x")))
+
+    parts = direct.unionByName(coupled).unionByName(cited)
     parts = parts.join(anchors.withColumnRenamed("anchor", "c"), "c", "left_anti")
     s = parts.groupBy("c").agg(F.sum("s").alias("score"), F.sum("hit").alias("direct_hits"), F.max("cpl").alias("max_coupling"), F.max("coc").alias("max_cocitation"))
     return s.filter("score > 1e-9").withColumnRenamed("c", "canonical_id")
@@ -211,7 +224,7 @@ def hub_suppressed(d: DataFrame, score: str) -> DataFrame:
     return min_max(d.withColumn("_raw", raw), "_raw", "suppressed").drop("_raw")
 
 
-def anchor_hops(n: DataFrame, edges: DataFrame, anchors: DataFrame, max_hops: int = 30) -> DataFrame:
+def anchor_hops(n: DataFrame, edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """(canonical_id, hops): undirected distance to the nearest anchor, 99 if there is no way.
 
     Breadth first: the frontier is joined with the edges and what it reaches is
@@ -223,7 +236,7 @@ def anchor_hops(n: DataFrame, edges: DataFrame, anchors: DataFrame, max_hops: in
     both = stage.put(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     known = stage.put(n.select("canonical_id").join(anchors.select(F.col("anchor").alias("canonical_id")).distinct(), "canonical_id", "left_semi").withColumn("hops", F.lit(0)))
     frontier = known
-    for h in range(1, max_hops + 1):
+    for h in count(1):
         reached = both.join(frontier.select(F.col("canonical_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("canonical_id")).distinct()
         frontier = stage.put(reached.join(known.select("canonical_id"), "canonical_id", "left_anti").withColumn("hops", F.lit(h)))
         if frontier.isEmpty():

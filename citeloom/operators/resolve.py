@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.ids import bare_id, blank_to_null
+from citeloom.operators.ranking import title_ratio
 from citeloom.operators.skew import salted_join
+from citeloom.operators.stars import contracted
 from citeloom.staging import Stage
 
 #: Trust in the sources for identifiers.
@@ -46,48 +48,62 @@ def refused_pairs(feedback: DataFrame) -> DataFrame:
     return feedback.filter("not accepted").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a < b").distinct()
 
 
-def spread_labels(links: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(canonical_id, label): every linked record with the smallest id it is connected to, by passing labels on until none changes."""
-    stage = Stage(links.sparkSession, "labels")
-    both = stage.put(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = stage.put(both.groupBy(F.col("a").alias("canonical_id")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
-    for _ in range(max_rounds):
-        heard = both.join(state.select(F.col("canonical_id").alias("b"), "label"), "b").groupBy(F.col("a").alias("canonical_id")).agg(F.min("label").alias("heard"))
-        nxt = stage.put(state.join(heard, "canonical_id").select("canonical_id", F.least("label", "heard").alias("label"), (F.col("heard") < F.col("label")).alias("moved")))
-        stage.drop(state)
-        moved = not nxt.filter("moved").isEmpty()
-        path = nxt._staged_at
-        state = nxt.drop("moved")
-        state._staged_at = path
-        if not moved:
-            return state
-    raise RuntimeError(f"labels still move after {max_rounds} rounds")
-
-
-def merged_records(n: DataFrame, feedback: DataFrame) -> DataFrame:
+def title_links(n: DataFrame, least: float = 0.92) -> DataFrame:
+    """(a, b): records whose lower-case titles are equal or have a matching ratio of ``least`` or more.
+
+    Equal titles hang on the smallest of their records; only distinct titles are
+    compared.  Candidates share one of the rarest words of either title, as many of
+    these as it takes for two titles that share half of their words to have one in
+    common; their lengths must allow the ratio.  Titles that share less than half of
+    their words and still reach the ratio (many words misspelt at once) are not found.
+    """
+    t = n.select("canonical_id", F.lower("title").alias("t")).filter("trim(t) <> ''")
+    reps = Stage(n.sparkSession, "titles").put(t.groupBy("t").agg(F.min("canonical_id").alias("rep")))
+    same = salted_join(t, reps, "t", "inner", spread="canonical_id").filter("rep <> canonical_id").select(F.col("rep").alias("a"), F.col("canonical_id").alias("b"))
+    words = F.array_distinct(F.filter(F.split("t", r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    w = reps.select("rep", F.length("t").alias("len"), F.explode(words).alias("w"))
+    df = w.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    lists = salted_join(w, df.filter("df > 1"), "w", "left", spread="rep").groupBy("rep", "len").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "w"))).alias("l"))
+    # of k words one may miss half and still share one of the first k // 2 + 1; words of one title alone are shared by none
+    prefix = lists.select("rep", "len", F.explode(F.filter(F.slice("l", F.lit(1), F.floor(F.size("l") / 2).cast("int") + 1), lambda x: x["df"] > 1)).alias("x")).select("rep", "len", F.col("x.w").alias("w"))
+    a, b = prefix.select("w", F.col("rep").alias("a"), F.col("len").alias("la")), prefix.select("w", F.col("rep").alias("b"), F.col("len").alias("lb"))
+    c = a.join(b, "w").filter((F.col("a") < F.col("b")) & (2.0 * F.least("la", "lb") >= least * (F.col("la") + F.col("lb")))).select("a", "b").distinct()
+    full = c.join(reps.select(F.col("rep").alias("a"), F.col("t").alias("ta")), "a").join(reps.select(F.col("rep").alias("b"), F.col("t").alias("tb")), "b")
+    # letters that the other title lacks match nothing
+    lone = F.expr("length(translate(ta, tb, '')) + length(translate(tb, ta, ''))")
+    full = full.filter(F.length("ta") + F.length("tb") - lone >= least * (F.length("ta") + F.length("tb")))
+    return same.unionByName(full.filter(title_ratio("ta", "tb") >= least).select("a", "b"))
+
+
+def merged_records(n: DataFrame, feedback: DataFrame, titles: bool = False) -> DataFrame:
     """(record_id, members, title, abstract, venue, doi, references): one row per work.
 
-    Records are linked by identifiers and accepted hints, refused pairs cut.  The
-    record with the highest source priority (the smallest id among equals) gives the
-    title; empty fields are filled from the next; references are united and sorted.
-    Groups are transitive, which the record-by-record scan of a single machine is
-    not always.
+    Records are linked by identifiers, accepted hints and, with ``titles``, by nearly
+    equal titles; refused pairs are cut.  The record with the highest source priority
+    (the smallest id among equals) gives the title; empty fields are filled from the
+    next; references are united and sorted.  Groups are transitive, which the
+    record-by-record scan of a single machine is not always.
     """
-    links = identifier_links(n).unionByName(hint_links(feedback)).distinct().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(refused_pairs(feedback), ["a", "b"], "left_anti")
+    links = identifier_links(n).unionByName(hint_links(feedback))
+    links = links.unionByName(title_links(n)) if titles else links
+    links = links.distinct().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(refused_pairs(feedback), ["a", "b"], "left_anti")
     ids = n.select("canonical_id")
     links = links.join(ids.withColumnRenamed("canonical_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("canonical_id", "b"), "b", "left_semi")
-    g = n.join(spread_labels(links), "canonical_id", "left").withColumn("label", F.coalesce("label", "canonical_id")).withColumn("p", source_priority())
+    labels = contracted(links).select(F.col("big").alias("canonical_id"), F.col("small").alias("label"))
+    g = n.join(labels, "canonical_id", "left").withColumn("label", F.coalesce("label", "canonical_id")).withColumn("p", source_priority())
     order = F.struct((-F.col("p")).alias("p"), F.col("canonical_id").alias("id"))
     first = lambda c: F.min_by(c, F.when(blank_to_null(F.col(c)).isNotNull(), order))
-    return g.groupBy("label").agg(
+    # repeated references fall away before a work's are collected
+    refs = g.select("label", F.explode("references").alias("r")).filter("r is not null").distinct().groupBy("label").agg(F.array_sort(F.collect_list("r")).alias("references"))
+    one = g.groupBy("label").agg(
         F.min_by("canonical_id", order).alias("record_id"),
         F.count(F.lit(1)).alias("members"),
         F.min_by("title", order).alias("title"),
         first("abstract").alias("abstract"),
         first("venue").alias("venue"),
         first("doi").alias("doi"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.coalesce("references", F.array().cast("array<string>")), lambda r: r.isNotNull()))))).alias("references"),
-    ).drop("label")
+    )
+    return one.join(refs, "label", "left").withColumn("references", F.coalesce("references", F.array().cast("array<string>"))).drop("label")
 
 
 def audit_report(audits: DataFrame) -> DataFrame:

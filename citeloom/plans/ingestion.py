@@ -145,7 +145,15 @@ def mixed_final_score(spark, d):
 
 
 def identifier_dedup(spark, d):
-    m = RS.merged_records(_nodes(spark, d), table(spark, d, "feedback"))
+    return _merged(RS.merged_records(_nodes(spark, d), table(spark, d, "feedback")))
+
+
+def work_dedup(spark, d):
+    """The same with records of nearly equal titles taken for one work, too."""
+    return _merged(RS.merged_records(_nodes(spark, d), table(spark, d, "feedback"), titles=True))
+
+
+def _merged(m):
     return m.select("record_id", "members", "title", F.md5("abstract").alias("abstract_md5"), "venue", "doi", F.size("references").alias("n_references"))
 
 
@@ -194,7 +202,7 @@ def embedding_cosine_topk(spark, d):
 QUERIES = {f.__name__: f for f in (
     normalized_records, inverted_abstracts, cache_keep_latest, cache_validity, citation_snippets, doc_identifiers, doc_reference_dois, doc_plain_text, doc_headers, doc_titles,
     identifiers_normalized, years_repaired, author_overlap, bibtex_entries, cache_keys, edge_styles, provenance_tiers, intent_cues, intent_classify, intent_distribution,
-    intent_entropy, query_ambiguity, mixed_final_score, identifier_dedup, audit_quality, feedback_latest, feedback_window_counts, eval_rank_metrics, branch_balance,
+    intent_entropy, query_ambiguity, mixed_final_score, identifier_dedup, work_dedup, audit_quality, feedback_latest, feedback_window_counts, eval_rank_metrics, branch_balance,
     retrieval_health, embedding_cosine_topk,
 )}
 

@@ -451,3 +451,142 @@ def test_seeds_keep_their_sixth_reference_and_citer(spark, papers, tmp_path):
     q = entry.queries()
     assert rows(q["second_hop_seeds_full"](spark, str(tmp_path))) == [("arxiv:1", r, i + 1) for i, r in enumerate(refs)]
     assert rows(q["broaden_pool_full"](spark, str(tmp_path))) == [(r, "reference") for r in refs] + [(c, "citer") for c in citers]
+
+
+# --- titles, stars, display lines, diagnostics, metrics ---------------------------------------------------------
+
+
+def test_title_links_equal_brute_force(spark):
+    import difflib
+
+    from citeloom.operators import graph, resolve
+    from citeloom.tables import table
+
+    n = graph.nodes(table(spark, "/root/testdata/sf0.001", "papers"), "title")
+    got = {tuple(sorted(r)) for r in resolve.title_links(n).select("a", "b").collect()}
+    ids: dict = {}
+    for r in n.select("canonical_id", F.lower("title").alias("t")).collect():
+        if r.t and r.t.strip():
+            ids.setdefault(r.t, []).append(r.canonical_id)
+    want = {tuple(sorted((min(v), x))) for v in ids.values() for x in v if x != min(v)}
+    keys = sorted(ids)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            m = difflib.SequenceMatcher(a=a, b=b)
+            if m.real_quick_ratio() >= 0.92 and m.quick_ratio() >= 0.92 and max(m.ratio(), difflib.SequenceMatcher(a=b, b=a).ratio()) >= 0.92:
+                want.add(tuple(sorted((min(ids[a]), min(ids[b])))))
+    assert got == want
+
+
+def test_contracted_long_chain_and_star(spark):
+    from citeloom.operators.stars import contracted
+
+    links = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(120)] + [("z0", f"z{i}") for i in range(1, 50)] + [("q", "q")]
+    got = {(r.big, r.small) for r in contracted(spark.createDataFrame(links, "a string, b string"), hot_rows=10).collect()}
+    assert got == {(f"n{i:03d}", "n000") for i in range(1, 121)} | {(f"z{i}", "z0") for i in range(1, 50)}
+    assert contracted(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_display_lines_of_nulls_and_odd_values(spark):
+    from citeloom.functions import display as D
+
+    row = [(None, None, None, None, None), ("One two three four", " cs_theory ", "Unknown", " 10.1/X ", "A sentence that is long enough. More"), (" ", "", "J", "https://doi.org/10.2/y", "Short. More")]
+    df = spark.createDataFrame(row, "title string, domain string, venue string, doi string, abstract string")
+    got = [tuple(r) for r in df.select(D.short_title(F.col("title")), D.domain_label(F.col("domain")), D.venue_line(F.col("venue")), D.primary_url(F.lit(None).cast("string"), F.col("doi")), D.first_sentence(F.col("abstract"))).collect()]
+    assert got == [("Untitled", "General", "", None, ""), ("One two three...", "Cs Theory", "", "https://doi.org/10.1/X", "A sentence that is long enough."), ("Untitled", "General", "J", "https://doi.org/10.2/y", "")]
+    people = spark.createDataFrame([([(f"P{i}", None) for i in range(8)],), ([(" ", None)],), (None,)], "authors array<struct<name:string,orcid:string>>")
+    assert [r[0] for r in people.select(D.authors_line(F.col("authors"))).collect()] == ["P0, P1, P2, P3, P4, P5 et al.", "", ""]
+
+
+def test_search_strings(spark):
+    from citeloom.functions import display as D
+
+    df = spark.createDataFrame([("ti: graphs",), ('a "b"\n c',), (None,), ("  ",)], "t string")
+    assert [r[0] for r in df.select(D.search_query(F.col("t"))).collect()] == ["ti: graphs", "all:a b c", "", ""]
+    files = spark.createDataFrame([("a/b/Some_great-paper.v2.pdf",), ("draft.pdf",), ("12345678.pdf",), (None,), ("x.pdf",), ("Manuscript.pdf",)], "f string")
+    assert [r[0] for r in files.select(D.file_stem(F.col("f"))).collect()] == ["Some great paper v2", None, None, None, None, None]
+    assert spark.createDataFrame([("10.18653/v1/p19-1001",)], "d string").select(D.anthology_id(F.col("d"))).first()[0] == "P19-1001"
+    bib = "@article{x,\n title = {A\n  long title},\n year={2020}}"
+    assert tuple(spark.createDataFrame([(bib,)], "b string").select(D.bibtex_field(F.col("b"), "title"), D.bibtex_field(F.col("b"), "doi")).first()) == ("A long title", None)
+    q = spark.createDataFrame([("ＡＢＣ​ Query",), ("data privacy rules",), (None,)], "q string")
+    assert [r[0] for r in q.select(D.normalized_query(F.col("q"))).collect()] == ["abc query", "data privacy rules", None]
+    assert [r[0] for r in q.select(F.size(D.query_variants(F.col("q")))).collect()] == [2, 3, 0]
+
+
+def test_titles_for_a_query(spark):
+    from citeloom.functions import display as D
+
+    gold = {"graph": ["G"], "graph neural": ["GN"]}
+    df = spark.createDataFrame([("Graph Neural ",), ("deep graph nets",), ("gra",), ("other",), (None,)], "q string")
+    # an empty query is part of every key
+    assert [r[0] for r in df.select(D.titles_for(F.col("q"), gold)).collect()] == [["GN"], ["G"], ["G"], [], ["G"]]
+
+
+def _results(spark):
+    q = spark.createDataFrame([(1, "graph neural networks", 3), (2, "sorting", 0), (3, "nothing", 0)], "query_id int, query string, paper_count int")
+    f = spark.createDataFrame([(1, 0, "a", "Graph Neural Nets", "canonical", "A long explanation of this work."), (1, 1, "", "graph neural  nets", "", "short")], "query_id int, pos int, paper_id string, title string, role string, why string")
+    b = spark.createDataFrame([(1, "x", 0, ["graph one", "graph two"], "graph expansion of everything here"), (1, "y", 1, ["alone"], "A branch with a readable text.")], "query_id int, branch_id string, pos int, titles array<string>, why string")
+    c = spark.createDataFrame([(1, 0, "Unrelated", 0.1, 2000), (1, 1, "Networks of graphs", 0.9, 2012), (2, 0, "Sorting networks", None, None)], "query_id int, pos int, title string, semantic_score double, year int")
+    gold = spark.createDataFrame([(1, "Graph neural nets and more"), (2, "Quicksort")], "query_id int, gold string")
+    return q, f, b, c, gold
+
+
+def test_all_metrics_by_hand(spark):
+    from citeloom.operators import metrics
+
+    got = {r.query_id: r for r in metrics.all_metrics(*_results(spark)).collect()}
+    one = got[1]
+    # titles: two foundational, three of branches, two candidates; "alone" and "Unrelated" share nothing
+    assert one.intent_precision == round(5 / 7, 4)
+    assert one.canonical_hit_rate == 1.0 and got[2].canonical_hit_rate == 0.0 and got[3].canonical_hit_rate == 1.0
+    assert one.foundational_quality == round((1.0 + (0.15 + 0.3 - 0.4)) / 2, 4)
+    assert one.noise_ratio == 0.5 and one.branch_coherence == round((1 / 3 + 0.5) / 2, 4)
+    assert one.diversity == round(0.6 * 2 / 4 + 0.4, 4) and one.readability == round(2 / 4, 4) and one.hallucination_risk == 0.5
+    assert got[2].hallucination_risk == 1.0 and got[3].hallucination_risk == 0.0
+    assert (got[3].intent_precision, got[3].foundational_quality, got[3].readability) == (0.0, 0.5, 0.5)
+
+
+def test_metrics_of_empty_tables(spark):
+    from citeloom.operators import metrics
+
+    q, f, b, c, gold = _results(spark)
+    none = metrics.all_metrics(q, f.limit(0), b.limit(0), c.limit(0), gold.limit(0)).filter("query_id = 1").first()
+    assert (none.intent_precision, none.canonical_hit_rate, none.foundational_quality, none.noise_ratio, none.branch_coherence) == (0.0, 1.0, 0.5, 0.0, 0.0)
+    assert metrics.all_metrics(q.limit(0), f, b, c, gold).count() == 0
+    acc = spark.createDataFrame([("Method Lookup", "method_lookup"), ("survey", "definition"), (None, "survey")], "p string, g string")
+    assert acc.select(metrics.accuracy(F.col("p"), F.col("g"))).first()[0] == pytest.approx(1 / 3)
+
+
+def test_discovery_budget_by_hand(spark):
+    from citeloom.operators import diagnostics as X
+
+    rows_ = [("sure", 0.2, 60, 50, True, 120, 0.25, 3, 0.0), ("vague", 1.0, 60, 50, True, 120, 0.25, 3, 0.0), ("cold", 0.2, 5, 50, False, 120, 0.25, 3, 0.0), ("zero", None, 60, 0, True, 0, 0.0, 0, None)]
+    q = spark.createDataFrame(rows_, "q string, ambiguity double, seeds int, top_n int, two_hop boolean, budget int, concept double, coupling int, topic double")
+    got = {r.q: r for r in X.discovery_budget(q).collect()}
+    assert (got["sure"].budget, got["sure"].concept, got["sure"].coupling, got["sure"].bridge_factor) == (120, 0.25, 3, 0.45)
+    assert got["vague"].budget == 78 and got["vague"].concept == pytest.approx(0.42) and got["vague"].bridge_factor == pytest.approx(0.6)
+    assert got["cold"].two_hop and got["cold"].coupling == 2 and got["cold"].concept == 0.15 and got["cold"].topic == 0.2 and got["cold"].budget == 120
+    # nothing or 0 means the default
+    assert (got["zero"].top_n, got["zero"].budget, got["zero"].coupling) == (50, 120, 3)
+
+
+def test_coherence_and_suppression(spark):
+    from citeloom.operators import diagnostics as X
+
+    df = spark.createDataFrame([("a", 1.0, 0.5, False, 0.0), ("b", 1.0, 0.0, True, 0.4), ("c", -1.0, 1.0, None, 0.25)], "canonical_id string, r double, c double, b boolean, p double")
+    got = [round(r[0], 6) for r in df.select(X.coherence_adjusted(F.col("r"), F.col("c"), F.col("b"), F.col("p"))).collect()]
+    assert got == [0.775, round(0.775 * 0.45 * 0.35, 6), 0.0]
+    nodes = spark.createDataFrame([("a", True, None, None, None), ("b", None, None, 0.4, 0.3), ("c", None, None, 0.4, 0.9)], "canonical_id string, suppressed boolean, is_bridge boolean, penalty double, coherence double")
+    rec = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "canonical_id string")
+    assert sorted(r[0] for r in X.without_suppressed(rec, nodes).collect()) == ["c", "d"]
+    tiers = spark.createDataFrame([(0.7, 0.5, False, None), (0.1, 0.36, False, None), (0.1, 0.1, False, None), (0.9, 0.9, True, None), (0.9, 0.9, False, "x")], "c double, s double, b boolean, k string")
+    assert [r[0] for r in tiers.select(X.confidence_tier(F.col("c"), F.col("s"), F.col("b"), F.col("k"))).collect()] == ["core_intent", "moderate_intent", "citation_adjacent", "exploratory_connection", "cross_domain_bridge"]
+
+
+def test_cosine_in_blocks(spark):
+    from citeloom.operators.evaluation import cosine_top_k
+
+    rnd = random.Random(3)
+    v = spark.createDataFrame([(i, [rnd.random() for _ in range(4)]) for i in range(60)] + [(60, None), (61, [0.0] * 4)], "vec_id long, embedding array<float>")
+    one, many = cosine_top_k(v, v.filter("vec_id % 3 = 0"), 4), cosine_top_k(v, v.filter("vec_id % 3 = 0"), 4, block=6)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
