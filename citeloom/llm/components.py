@@ -1,9 +1,8 @@
 """Consolidating pairwise matches into groups: alternating large-star and small-star.
 
-Each round rewrites the edges through distributed joins until nothing changes;
-then every record hangs on the smallest identifier of its component.  Stars grow
-hot centres by design, so the joins salt every node whose degree passes a bound.
-Rounds are written to the shared folder; two rounds are kept at most.
+Decisions on pairs become edges; ``operators.stars`` rewrites them through salted
+joins until nothing changes; then every record hangs on the smallest identifier of
+its component.
 """
 
 from __future__ import annotations
@@ -12,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.ids import blank_to_null
-from citeloom.operators.skew import HOT_ROWS, salted_join
-from citeloom.staging import Stage
+from citeloom.operators.skew import HOT_ROWS
+from citeloom.operators.stars import contracted
 
 
 def accepted_links(feedback: DataFrame, audits: DataFrame) -> DataFrame:
@@ -35,44 +34,11 @@ def _pairs(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), x.isNotNull().alias("x"), y.isNotNull().alias("y"), *more).filter("x and y and a < b").drop("x", "y")
 
 
-def large_star(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(big, small) edges with every larger neighbour of a node moved to the node's smallest one."""
-    ends = edges.select(F.col("small").alias("u"), F.col("big").alias("v")).unionByName(edges.select(F.col("big").alias("u"), F.col("small").alias("v")))
-    mins = ends.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("small"), F.least("u", "v").alias("m"), "n")
-    out = salted_join(edges, mins.select("small", "m"), "small", "inner", spread="big", hot_rows=hot_rows, counts=mins.select("small", "n"))
-    return out.select("big", F.col("m").alias("small")).distinct()
-
-
-def small_star(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(big, small) edges with every smaller neighbour of a node, and the node, moved to the smallest one."""
-    mins = edges.groupBy("big").agg(F.min("small").alias("m"), F.count(F.lit(1)).alias("n"))
-    out = salted_join(edges, mins.select("big", "m"), "big", "inner", spread="small", hot_rows=hot_rows, counts=mins.select("big", "n"))
-    moved = out.filter("small > m").select(F.col("small").alias("big"), F.col("m").alias("small"))
-    return moved.unionByName(mins.select("big", F.col("m").alias("small"))).distinct()
-
-
 def connected_components(links: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(group_id, record_id) of all ids in ``links`` (a, b with a <> b); group_id is the smallest id of the component.
 
     Repeated and reversed links are fine; an empty input gives an empty result.
-    Raises if ``max_rounds`` do not suffice, which takes far more than any data
-    can (rounds grow with the logarithm of the longest chain).
+    Raises if ``max_rounds`` do not suffice, which takes far more than any data can.
     """
-    stage = Stage(links.sparkSession, "components")
-    edges = stage.put(links.select(F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small")).filter("big > small").distinct())
-    mark = _mark(edges)
-    for _ in range(max_rounds):
-        wide = stage.put(large_star(edges, hot_rows))
-        nxt = stage.put(small_star(wide, hot_rows))
-        stage.drop(wide)
-        stage.drop(edges)
-        edges, before, mark = nxt, mark, _mark(nxt)
-        if mark == before:
-            return edges.select(F.col("small").alias("group_id"), F.col("big").alias("record_id")).unionByName(edges.select(F.col("small").alias("group_id"), F.col("small").alias("record_id")).distinct())
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """Count and order-free digests of an edge set."""
-    h = F.xxhash64("big", "small")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
+    edges = contracted(links, max_rounds, hot_rows)
+    return edges.select(F.col("small").alias("group_id"), F.col("big").alias("record_id")).unionByName(edges.select(F.col("small").alias("group_id"), F.col("small").alias("record_id")).distinct())
