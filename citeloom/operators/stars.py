@@ -16,18 +16,25 @@ from citeloom.operators.skew import HOT_ROWS, salted_join
 from citeloom.staging import Stage
 
 
-def large_star(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(big, small) edges with every larger neighbour of a node moved to the node's smallest one."""
+def _spread(edges: DataFrame, mins: DataFrame, key: str, spread: str, hot_rows: int, total: int | None) -> DataFrame:
+    """``edges`` with the ``m`` of their ``key``; no node of a graph of at most ``hot_rows`` edges can be hot, so nothing is salted there."""
+    if total is not None and total <= hot_rows:
+        return edges.join(mins.select(key, "m"), key)
+    return salted_join(edges, mins.select(key, "m"), key, "inner", spread=spread, hot_rows=hot_rows, counts=mins.select(key, "n"))
+
+
+def large_star(edges: DataFrame, hot_rows: int = HOT_ROWS, total: int | None = None) -> DataFrame:
+    """(big, small) edges with every larger neighbour of a node moved to the node's smallest one; ``total`` edges, if known."""
     ends = edges.select(F.col("small").alias("u"), F.col("big").alias("v")).unionByName(edges.select(F.col("big").alias("u"), F.col("small").alias("v")))
     mins = ends.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("small"), F.least("u", "v").alias("m"), "n")
-    out = salted_join(edges, mins.select("small", "m"), "small", "inner", spread="big", hot_rows=hot_rows, counts=mins.select("small", "n"))
+    out = _spread(edges, mins, "small", "big", hot_rows, total)
     return out.select("big", F.col("m").alias("small")).distinct()
 
 
-def small_star(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(big, small) edges with every smaller neighbour of a node, and the node, moved to the smallest one."""
+def small_star(edges: DataFrame, hot_rows: int = HOT_ROWS, total: int | None = None) -> DataFrame:
+    """(big, small) edges with every smaller neighbour of a node, and the node, moved to the smallest one; ``total`` edges, if known."""
     mins = edges.groupBy("big").agg(F.min("small").alias("m"), F.count(F.lit(1)).alias("n"))
-    out = salted_join(edges, mins.select("big", "m"), "big", "inner", spread="small", hot_rows=hot_rows, counts=mins.select("big", "n"))
+    out = _spread(edges, mins, "big", "small", hot_rows, total)
     moved = out.filter("small > m").select(F.col("small").alias("big"), F.col("m").alias("small"))
     return moved.unionByName(mins.select("big", F.col("m").alias("small"))).distinct()
 
@@ -45,8 +52,9 @@ def contracted(links: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS)
     edges = stage.put(links.select(F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small")).filter("big > small").distinct())
     mark = _mark(edges)
     for _ in range(max_rounds):
-        wide = stage.put(large_star(edges, hot_rows))
-        nxt = stage.put(small_star(wide, hot_rows))
+        # neither rewrite makes more edges than there are
+        wide = stage.put(large_star(edges, hot_rows, mark[0]))
+        nxt = stage.put(small_star(wide, hot_rows, mark[0]))
         stage.drop(wide, edges)
         edges, before, mark = nxt, mark, _mark(nxt)
         if mark == before:
