@@ -89,7 +89,7 @@ def test_trie_join_finds_all_neighbours(spark):
         words |= {w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + w[i + 1 :], w[:i] + "x" + w[i:]}
     words = {w for w in words if len(w) >= 6}
     want = sorted((a, b) for a in words for b in words if a != b and brute_damerau(a, b) <= 1)
-    assert rows(names.trie_neighbours(spark.createDataFrame([(w,) for w in words], "t string"), 1, shards=5)) == want
+    assert rows(names.trie_neighbours(spark.createDataFrame([(w,) for w in words], "t string"), 1)) == want
 
 
 SAME = [
@@ -142,6 +142,58 @@ def test_variants_of_small_table(spark):
     assert names.variant_pairs(spark.createDataFrame([], AUTHOR)).count() == 0
 
 
+@given(st.text("abcd", min_size=1, max_size=9), st.lists(st.tuples(st.sampled_from("drix"), st.integers(0, 9), st.sampled_from("abcde")), max_size=3))
+@settings(max_examples=300, deadline=None)
+def test_automaton_and_bounded_distance_equal_the_distance(a, edits):
+    b = list(a)
+    for kind, i, c in edits:
+        i %= len(b) + 1
+        if kind == "i":
+            b.insert(i, c)
+        elif kind == "d" and b:
+            b.pop(min(i, len(b) - 1))
+        elif kind == "r" and b:
+            b[min(i, len(b) - 1)] = c
+        elif len(b) > 1:
+            i = min(i, len(b) - 2)
+            b[i], b[i + 1] = b[i + 1], b[i]
+    b = "".join(b)
+    for d in (1, 2):
+        want = names.damerau(a, b) <= d
+        assert names.within(a, b, d) == want
+        assert (names.traverse(names.build_trie([b]), a, d) == [b]) == want if b else True
+
+
+def test_links_in_stars_join_what_all_pairs_would(spark):
+    """Units of two fitting forms with and without ORCIDs, at places: components of the links against those of all pairs."""
+    rnd = random.Random(5)
+    units = [(i, rnd.choice("fgh"), rnd.choice([None, None, "o1", "o2", "o3"]), rnd.choice(["p", "q", None])) for i in range(40)]
+    pairs = [("f", "f"), ("g", "g"), ("h", "h"), ("f", "g"), ("g", "f")]
+    df = spark.createDataFrame(units, "unit long, form string, o string, p string")
+    for at in ([], ["p"]):
+        links = names._fitting(df, spark.createDataFrame(pairs, "f string, g string"), at).collect()
+        every = [(a, b) for a, fa, oa, pa in units for b, fb, ob, pb in units if a < b and (fa, fb) in pairs and not (oa and ob) and (not at or pa and pa == pb)]
+        # nothing that all pairs would keep apart is linked
+        assert {(min(r), max(r)) for r in map(tuple, links)} <= set(every)
+
+        def components(edges):
+            root = {u[0]: u[0] for u in units}
+
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for a, b in edges:
+                root[find(a)] = find(b)
+            groups: dict = {}
+            for x in root:
+                groups.setdefault(find(x), set()).add(x)
+            return sorted(map(sorted, groups.values()))
+
+        assert components(map(tuple, links)) == components(every)
+
+
 # --- 5: matching ---------------------------------------------------------------------------------------------
 
 
