@@ -590,3 +590,127 @@ def test_cosine_in_blocks(spark):
     v = spark.createDataFrame([(i, [rnd.random() for _ in range(4)]) for i in range(60)] + [(60, None), (61, [0.0] * 4)], "vec_id long, embedding array<float>")
     one, many = cosine_top_k(v, v.filter("vec_id % 3 = 0"), 4), cosine_top_k(v, v.filter("vec_id % 3 = 0"), 4, block=6)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
+# --- lookups, providers, reading lists ----------------------------------------------------------------------------
+
+
+def test_budget_keeps_its_interval():
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    b = landing.Budget(0.5, lambda: now[0], sleep)
+    b.acquire()
+    now[0] += 0.2
+    b.acquire()
+    now[0] += 2
+    b.acquire()
+    assert slept == [pytest.approx(0.3)]
+
+
+def test_busy_provider_is_given_time():
+    waits, calls = [], []
+
+    class Busy:
+        name = "busy"
+
+        def fetch(self, ids):
+            calls.append(1)
+            if len(calls) < 8:
+                raise landing.TooManyRequests
+            return {}
+
+    assert landing.fetch_with_retry(Busy(), ["a"], sleep=waits.append) == {}
+    assert waits == [2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 120.0]
+    calls.clear()
+
+    class Always(Busy):
+        def fetch(self, ids):
+            raise landing.TooManyRequests
+
+    with pytest.raises(landing.TooManyRequests):
+        landing.fetch_with_retry(Always(), ["a"], sleep=lambda s: None)
+
+
+class EchoProvider:
+    """A provider of its own for the next test."""
+
+    def __init__(self, folder, name):
+        self.name = name
+
+    def fetch(self, ids):
+        return {i: json.dumps({"id": i, "by": self.name}) for i in ids if i != "none"}
+
+
+def test_reader_takes_a_provider_class(tmp_path):
+    (tmp_path / "a.txt").write_text("x\tW7\nx\tnone\ny\tW1\n")
+    r = landing.LandingReader({"folder": "", "requests": str(tmp_path), "classes": json.dumps({"x": "tests.test_core:EchoProvider", "y": "tests.test_core:EchoProvider"}), "intervals": json.dumps({"x": 0, "y": 0})})
+    got = [row for p in r.partitions() for row in r.read(p)]
+    assert got == [("x", "W7", '{"id": "W7", "by": "x"}', True), ("x", "none", None, False), ("y", "W1", '{"id": "W1", "by": "y"}', True)]
+    many = landing.LandingReader({"folder": "", "ids": json.dumps({"x": [str(i) for i in range(260)]})}).partitions()
+    # six batches on four partitions, each of which waits four intervals
+    assert [len(p.batches) for p in many] == [2, 2, 1, 1] and {p.sharing for p in many} == {4}
+
+
+def test_aliases_of_merged_works(spark):
+    from citeloom.operators import lookup
+
+    raw = [("openalex", "W1", json.dumps({"id": "https://x.example/W1", "ids": {"openalex": "https://x.example/w9", "mag": "123"}}), 1), ("openalex", "W1", json.dumps({"id": "https://x.example/W1"}), 2), ("openalex", "W3", "broken", 3), ("openalex", "W4", None, 4)]
+    a = lookup.aliases_of_payloads(spark.createDataFrame(raw, "source string, source_id string, payload string, fetched_unix long"))
+    assert rows(a) == [("W1", "openalex", "W1"), ("W9", "openalex", "W1")]
+    got = lookup.by_alias(spark.createDataFrame([(" w9",), ("W2",), ("10.1/x",), (None,)], "key string"), a)
+    assert sorted((str(r["key"]), r.source_id) for r in got.collect() if r.source_id) == [(" w9", "W1")] and got.count() == 4
+
+
+def test_batches_hydration_and_refresh(spark):
+    from citeloom.operators import lookup
+
+    wanted = spark.createDataFrame([(f"W{i}",) for i in range(130)] + [("W1",), ("x",), (None,)], "id string")
+    b = lookup.missing_batches(wanted, spark.createDataFrame([("W5",)], "id string")).collect()
+    ids = [i for r in b for i in r.ids]
+    assert len(ids) == len(set(ids)) == 129 and max(len(r.ids) for r in b) <= 50
+    rec = spark.createDataFrame([("a", "W1", "Pending"), ("b", "W2", "Pending"), ("c", None, "Pending"), ("d", "W1", "Own")], "canonical_id string, openalex_id string, title string")
+    rounds = [spark.createDataFrame([("W9", "Nine")], "openalex_id string, title string"), spark.createDataFrame([("W1", "One")], "openalex_id string, title string")]
+    got = {r.canonical_id: (r.title, r.graph_noise) for r in lookup.hydrated(rec, rounds, F.col("title") == "Pending").collect()}
+    assert got == {"a": ("One", False), "b": ("Pending", True), "c": ("Pending", False), "d": ("Own", False)}
+    nodes = spark.createDataFrame([("a", "old", 3), ("b", "old", 4)], "id string, title string, rank int")
+    fresh = spark.createDataFrame([("a", "new", 99), ("b", None, 98)], "id string, title string, rank int")
+    assert rows(lookup.refreshed(nodes, fresh, "id", ("rank",))) == [("a", "new", 3), ("b", "old", 4)]
+
+
+def test_zip_concepts_and_routing(spark):
+    from citeloom.operators import lookup
+
+    seeds = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.2), (1, 2, None)], "query_id int, seed_pos int, concept_score double")
+    rec = spark.createDataFrame([(1, 0, "a", [("openalex", 0.0)]), (1, 2, "c", [])], "query_id int, seed_pos int, canonical_id string, sources array<struct<source:string,score:double>>")
+    assert {r.canonical_id: [s.source for s in r.sources] for r in lookup.zipped(seeds, rec).collect()} == {"a": ["openalex", "topic_probe"], "c": []}
+    raw = spark.createDataFrame([("W1", json.dumps({"id": "W1", "concepts": [{"id": "https://x.example/C7", "score": 0.9}]})), ("W2", json.dumps({"id": "W2", "concepts": [{"id": "C7", "score": 0.5}]})), ("W3", "no")], "source_id string, payload string")
+    assert rows(lookup.concept_works(raw, "C7")) == [("W1", 0.9)]
+    err = {r.provider: r.error for r in lookup.routed(spark.createDataFrame([(" OpenAlex",), ("unknown",), (None,)], "provider string")).collect()}
+    assert err[" OpenAlex"] is None and "arxiv" in err["unknown"] and err[None].startswith("no provider ?")
+
+
+def test_missing_link_details(spark, papers):
+    from citeloom.operators import lookup
+
+    raw = json.dumps({"cited_by_count": 42, "concepts": [{"id": "https://x.example/C1", "score": 0.31}]})
+    p = papers([paper("a", provenance=[("openalex", "W1", None, None, raw)]), paper("b", provenance=[("foundational_hub", "x", None, None, None)]), paper("c", provenance=[("openalex", "W", None, None, "broken")]), paper("d")])
+    c = spark.createDataFrame([("a", 3), ("b", 1), ("c", 9), ("d", 9), ("gone", 2)], "canonical_id string, links int")
+    got = {r[0]: tuple(r)[1:] for r in lookup.missing_link_details(c, p, "C1").collect()}
+    assert got == {"a": (3, 42, 0.31, True), "b": (1, 0, 0.0, True), "c": (9, 0, 0.0, False), "d": (9, 0, 0.0, False), "gone": (2, 0, 0.0, False)}
+
+
+def test_reading_list_of_nothing(spark, papers):
+    from citeloom.operators import graph as G_
+    from citeloom.operators import reading
+
+    n = G_.nodes(papers([paper("a", 0, title="Graph networks", references=["b"]), paper("b", 1, title=None)]), "title", "abstract", "year", "domain", "references", "doi", "openalex_id", "arxiv_id", "semantic_scholar_id")
+    e = G_.resolve_references(n)
+    q = spark.createDataFrame([(1, "graph networks"), (2, "zzz"), (3, None)], "query_id int, query string")
+    r = reading.ranked_pool(q, n, e, G_.degrees(n, e), 2026)
+    assert [(x.query_id, x.canonical_id, x.origin, x["rank"]) for x in r.orderBy("rank").collect()] == [(1, "a", "api_search", 1), (1, "b", "discovered", 2)]
+    md = {x.query_id: x.markdown for x in reading.report(q, reading.sections(r), n).collect()}
+    assert md[1].startswith("# graph networks\n\n## Branch: unknown\n- ") and md[2] == "# zzz" and "Untitled" in md[1]
