@@ -119,3 +119,46 @@ def greedy_cap(files: DataFrame, limit: int) -> DataFrame:
 
     folded = g.select("key", "l", F.aggregate("l", start, step).alias("f"))
     return folded.select("key", F.explode(F.arrays_zip("l", "f.kept")).alias("z")).select("key", "z.l.name", "z.l.size", "z.kept")
+
+
+def purity_report(m: DataFrame, key: str, branch: str) -> DataFrame:
+    """(key, branch, score, level, match, contamination, theme): how far a branch's members treat the query.
+
+    Members carry ``matches`` (boolean), ``topical`` and ``purity`` (0..1) and
+    ``themes`` (names of strange themes they hold).  The most frequent theme, the first
+    by name among equals, is what the branch is contaminated with.
+    """
+    one = m.groupBy(key, branch).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("matches", F.lit(False)).cast("double")).alias("match"), F.avg("topical").alias("t"), F.avg("purity").alias("p"))
+    t = m.select(key, branch, F.explode(F.array_distinct("themes")).alias("theme")).groupBy(key, branch, "theme").agg(F.count(F.lit(1)).alias("k"))
+    worst = t.groupBy(key, branch).agg(F.max("k").alias("k"), F.min_by("theme", F.struct((-F.col("k")).alias("a"), "theme")).alias("theme"))
+    x = one.join(worst, [key, branch], "left").withColumn("contamination", F.coalesce(F.col("k") / F.col("n"), F.lit(0.0)))
+    raw = 0.45 * F.col("match") + 0.35 * F.col("t") + 0.20 * F.col("p") - 0.55 * F.col("contamination") - F.when(F.col("match") < 0.25, 0.2).otherwise(0.0)
+    x = x.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+    level = F.when(F.col("score") >= 0.55, "high").when(F.col("score") >= 0.38, "medium").otherwise("low")
+    return x.select(key, branch, F.round("score", 4).alias("score"), level.alias("level"), F.round("match", 4).alias("match"), F.round("contamination", 4).alias("contamination"), "theme")
+
+
+def voted_labels(m: DataFrame, key: str, branch: str, query: Column, stop: tuple[str, ...], words: int = 3) -> DataFrame:
+    """(key, branch, label): the words that query (three votes each) and titles (two for a word of the query, else one) vote for.
+
+    Equal votes go by alphabet.  Without any word the branch is 'Query-aligned cluster'.
+    """
+    found = lambda c: F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[a-z][a-z0-9\-]{3,}"), F.lit(0)), lambda w: ~w.isin(*stop))
+    t = m.select(key, branch, query.alias("_q"), F.explode(found(F.col("title"))).alias("w")).select(key, branch, "w", F.when(F.contains(F.lower("_q"), F.col("w")), 2).otherwise(1).alias("v"))
+    q = m.select(key, branch, query.alias("_q")).distinct().select(key, branch, F.explode(found(F.col("_q"))).alias("w"), F.lit(3).alias("v"))
+    c = t.unionByName(q).groupBy(key, branch, "w").agg(F.sum("v").alias("v"))
+    r = c.withColumn("r", F.row_number().over(Window.partitionBy(key, branch).orderBy(F.desc("v"), "w"))).filter(F.col("r") <= words)
+    l = r.groupBy(key, branch).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: F.initcap(x["w"])), " ").alias("label"))
+    return m.select(key, branch).distinct().join(l, [key, branch], "left").select(key, branch, F.coalesce("label", F.lit("Query-aligned cluster")).alias("label"))
+
+
+def unexpected_connections(m: DataFrame, edges: DataFrame, key: str, branch: str, most: float = 0.35) -> DataFrame:
+    """(key, left, right, overlap): per result the two branches with an edge between them whose titles share the fewest words, ``most`` at the most."""
+    s = shown(m).select(key, branch, F.explode(F.filter(title_words(F.col("title")), lambda w: F.length(w) > 3)).alias("w")).distinct()
+    bag = s.groupBy(key, branch).agg(F.count(F.lit(1)).alias("n"))
+    near = bridges(edges, shown(m), key, branch).select(key, "left", "right")
+    common = s.withColumnRenamed(branch, "left").join(s.withColumnRenamed(branch, "right"), [key, "w"]).filter("left < right").groupBy(key, "left", "right").agg(F.count(F.lit(1)).alias("c"))
+    x = near.join(common, [key, "left", "right"], "left").join(bag.select(key, F.col(branch).alias("left"), F.col("n").alias("a")), [key, "left"]).join(bag.select(key, F.col(branch).alias("right"), F.col("n").alias("b")), [key, "right"])
+    c = F.coalesce("c", F.lit(0))
+    x = x.withColumn("overlap", c / (F.col("a") + F.col("b") - c)).filter(F.col("overlap") <= most)
+    return x.groupBy(key).agg(F.min(F.struct("overlap", "left", "right")).alias("r")).select(key, "r.left", "r.right", F.col("r.overlap").alias("overlap"))

@@ -714,3 +714,86 @@ def test_reading_list_of_nothing(spark, papers):
     assert [(x.query_id, x.canonical_id, x.origin, x["rank"]) for x in r.orderBy("rank").collect()] == [(1, "a", "api_search", 1), (1, "b", "discovered", 2)]
     md = {x.query_id: x.markdown for x in reading.report(q, reading.sections(r), n).collect()}
     assert md[1].startswith("# graph networks\n\n## Branch: unknown\n- ") and md[2] == "# zzz" and "Untitled" in md[1]
+
+
+# --- uploads, stores, branch reports ------------------------------------------------------------------------------
+
+
+def test_upload_gate_pool_and_seeds(spark):
+    from citeloom.operators import uploads as U
+
+    prev = [(0, "doi", "10.1/a", 0.9, False, ["10.2/x", " 10.2/x ", None, "10.2/y"]), (1, "arxiv", "1", 0.5, True, ["10.2/z", "10.2/y"]), (2, "doi", "10.1/b", 0.5, None, ["10.2/q"]), (3, "doi", " ", 0.1, None, None), (4, "doi", "10.1/c", None, None, [])]
+    p = spark.createDataFrame(prev, "pos int, provider string, id string, mapping_score double, quality_override boolean, references array<string>")
+    g = U.gated(p)
+    assert [r.state for r in g.orderBy("pos").collect()] == ["seed", "overridden", "blocked", "unresolved", "seed"]
+    assert tuple(U.gate_statistics(g).first()) == (2, 1, 1, 0.8)
+    pool = U.reference_pool(p, 4)
+    assert [(r.id, r.pool_pos) for r in pool.orderBy("pool_pos").collect()] == [("10.2/x", 1), ("10.2/y", 2), ("10.2/z", 3), ("10.2/q", 4)]
+    s = U.seeds(g, spark.createDataFrame([("openalex", "W1", 7)], "provider string, id string, pos int"), pool)
+    assert [(r.id, r.origin) for r in s.orderBy("part", "pos").collect()][:4] == [("10.1/a", "uploaded_pdf"), ("1", "uploaded_pdf"), ("10.1/c", "uploaded_pdf"), ("W1", "discovered_2hop")]
+
+
+def test_upload_decisions_in_order(spark):
+    from citeloom.operators import uploads as U
+
+    schema = "arxiv string, doi string, known_arxiv boolean, known_doi boolean, title_id string, title_score double, stem_id string, stem_score double"
+    cases = [("2301.00001", "10.1/a", True, True, "W1", 0.9, None, None), ("2301.00001", "10.48550/arxiv.2301.00001", None, True, None, None, None, None), (None, "10.1/a", None, None, None, None, None, None), ("2301.00001", None, None, None, None, None, None, None), (None, None, None, None, "W1", 0.91234, "W2", 0.5), (None, None, None, None, None, None, "W2", 0.5), (None,) * 8]
+    got = [(r.provider, r.id, r.mapping_score, r.resolution) for r in U.decided(spark.createDataFrame(cases, schema)).collect()]
+    assert got == [("arxiv", "2301.00001", 0.98, "pdf_text"), ("doi", "10.48550/arxiv.2301.00001", 0.98, "doi"), ("doi", "10.1/a", 0.92, "doi"), ("arxiv", "2301.00001", 0.82, "pdf_text"), ("openalex", "W1", 0.9123, "pdf_text"), ("openalex", "W2", 0.5, "filename"), ("unresolved", "", 0.0, "pdf_text")]
+
+
+def test_title_similarity_and_fit(spark):
+    import difflib
+
+    from citeloom.operators import uploads as U
+
+    c = spark.createDataFrame([("a", "Deep graph networks"), ("b", "Nothing here"), ("c", None)], "canonical_id string, title string")
+    anchors = spark.createDataFrame([("Graph networks, deeply",), ("Deep seas",), (None,)], "title string")
+    want = max(difflib.SequenceMatcher(a="deep graph networks", b=x).ratio() for x in ("graph networks, deeply", "deep seas"))
+    assert {r[0]: r[1] for r in U.best_title_similarity(c, anchors).collect()} == {"a": pytest.approx(want), "b": 0.0, "c": 0.0}
+    x = U.fit_columns(spark.createDataFrame([("Graph nets", "All about nets", "graph nets"), (None, None, None)], "title string, abstract string, query string"))
+    got = [r[0] for r in x.select(U.semantic_fit(F.split("query", " "), F.col("query"))).collect()]
+    assert got == [pytest.approx(0.4 + 0.48), 0.45]
+
+
+def test_projects_and_feedback_stores(spark, tmp_path):
+    from citeloom.sources import stores
+
+    p = stores.Projects(spark, f"file://{tmp_path}/p")
+    assert p.list().count() == 0
+    stem = p.save("My project: é", {"a": [1, 2], "b": None})
+    assert p.load(stem) == {"a": [1, 2], "b": None} and [r.name for r in p.list().collect()] == ["My project: é"]
+    (tmp_path / "p" / "old.json").write_text('{"schema_version": 0, "session": {}}')
+    (tmp_path / "p" / "bad.json").write_text("no json")
+    with pytest.raises(ValueError):
+        p.load("old")
+    with pytest.raises(FileNotFoundError):
+        p.load("none")
+    assert {r.stem: r.name for r in p.list().collect()} == {stem: "My project: é", "old": "old", "bad": "bad"}
+    assert p.delete(stem) and not p.delete(stem)
+    f = stores.FeedbackTable(spark, f"file://{tmp_path}/f")
+    assert f.events().count() == 0
+    f.merge_hint("a", "b", True)
+    f.bad_citation("c", "d")
+    f.add(spark.createDataFrame([("x", "l", "r", None, dt.datetime(1999, 1, 1))], "event_type string, left_id string, right_id string, accepted boolean, created_at timestamp"))
+    assert [r.event_type for r in f.events().collect()][-1] == "x" and f.events().count() == 3
+    f.replace(spark.createDataFrame([("y", "l", "r", True, None)], stores.EVENTS))
+    assert [r.event_type for r in f.events().collect()] == ["y"]
+    f.clear()
+    assert f.events().count() == 0
+
+
+def test_branch_reports_by_hand(spark):
+    from citeloom.operators import branches as B
+    from citeloom.operators import uploads
+
+    m = [(1, "x", "a", "graph nets", True, 0.8, 0.9, ["t"], 1), (1, "x", "b", "graph walks", False, 0.4, 0.5, ["t", "u", "t"], 2), (1, "y", "c", "law of courts", None, 0.0, 0.0, ["u"], 1), (2, "x", "d", None, True, 1.0, 1.0, [], 1)]
+    df = spark.createDataFrame(m, "q int, d string, canonical_id string, title string, matches boolean, topical double, purity double, themes array<string>, branch_rank int")
+    got = {(r.q, r.d): r for r in B.purity_report(df, "q", "d").collect()}
+    assert got[1, "x"].score == 0.025 and got[1, "x"].theme == "t" and got[1, "x"].contamination == 1.0
+    assert got[1, "y"].score == 0.0 and got[2, "x"].score == 1.0 and got[2, "x"].level == "high" and got[2, "x"].theme is None
+    labels = {(r.q, r.d): r.label for r in B.voted_labels(df, "q", "d", F.lit("graph law"), ("nets",)).collect()}
+    assert labels[1, "x"] == "Graph Walks" and labels[2, "x"] == "Graph"
+    e = spark.createDataFrame([(1, "a", "c"), (1, "a", "b")], "q int, src string, dst string")
+    assert rows(B.unexpected_connections(df, e, "q", "d")) == [(1, "x", "y", 0.0)]
+    assert {(r.q, r.canonical_id) for r in uploads.promoted(df.withColumn("is_hub", F.lit(False)), "q", "topical", "purity").filter("is_hub").collect()} == {(1, "a"), (2, "d")}
