@@ -28,6 +28,8 @@ HEAVY_ITEMS = 1024
 HEAVY_FROM = 64
 #: Baskets of one block.
 BLOCK_BASKETS = 262_144
+#: Light items of one basket whose pairs one task makes with all of the basket; longer baskets are split.
+LONG_BASKET = 1_000
 
 
 def baskets_of_references(papers: DataFrame) -> DataFrame:
@@ -52,7 +54,25 @@ def popcounts(rows: pd.DataFrame, heavy: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"x": [], "y": [], "n": []}).astype({"x": "int32", "y": "int32", "n": "int64"})
 
 
-def pair_counts(baskets: DataFrame, total: int, min_count: int = 5, lift: float = 8.0, heavy_items: int = HEAVY_ITEMS, heavy_from: int = HEAVY_FROM, block_baskets: int = BLOCK_BASKETS) -> DataFrame:
+def light_pairs(light: DataFrame, stage: Stage, long_basket: int = LONG_BASKET) -> DataFrame:
+    """(item_a, item_b), a < b: the pairs of the light items of every basket.
+
+    The square of a basket of more than ``long_basket`` items is cut into strips: each
+    task pairs ``long_basket`` of its items, about, with all of them.
+    """
+    sizes = light.groupBy("basket").agg(F.count(F.lit(1)).alias("n"))
+    long = stage.put(sizes.filter(F.col("n") > long_basket).select("basket", F.ceil(F.col("n") / long_basket).cast("int").alias("parts")))
+    a, b = light.withColumnRenamed("item", "item_a"), light.withColumnRenamed("item", "item_b")
+    if long.isEmpty():
+        return a.join(b, "basket").filter("item_a < item_b").select("item_a", "item_b")
+    short = lambda x: x.join(long, "basket", "left_anti")
+    strips = a.join(long, "basket").withColumn("part", F.pmod(F.xxhash64("item_a"), F.col("parts")).cast("int"))
+    whole = b.join(long, "basket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = strips.select("basket", "part", "item_a").join(whole.select("basket", "part", "item_b"), ["basket", "part"])
+    return short(a).join(short(b), "basket").select("item_a", "item_b").unionByName(cut.select("item_a", "item_b")).filter("item_a < item_b")
+
+
+def pair_counts(baskets: DataFrame, total: int, min_count: int = 5, lift: float = 8.0, heavy_items: int = HEAVY_ITEMS, heavy_from: int = HEAVY_FROM, block_baskets: int = BLOCK_BASKETS, long_basket: int = LONG_BASKET) -> DataFrame:
     """(item_a, item_b, n_a, n_b, n_ab), a < b: pairs with n_ab >= min_count that may reach ``lift``.
 
     ``baskets`` holds distinct (basket, item); ``total`` is the number of baskets,
@@ -69,8 +89,7 @@ def pair_counts(baskets: DataFrame, total: int, min_count: int = 5, lift: float
     kept = stage.put(baskets.join(kept, "item").select("basket", "item", "h"))
 
     light = kept.filter("h is null").select("basket", "item")
-    a, b = light.withColumnRenamed("item", "item_a"), light.withColumnRenamed("item", "item_b")
-    ll = a.join(b, "basket").filter("item_a < item_b").groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n_ab"))
+    ll = light_pairs(light, stage, long_basket).groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n_ab"))
 
     lists = kept.filter("h is not null").groupBy("basket").agg(F.collect_list("item").alias("heavies"))  # HEAVY_ITEMS at most
     hl = light.join(lists, "basket").select("item", F.explode("heavies").alias("other"))

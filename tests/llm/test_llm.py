@@ -283,7 +283,7 @@ def test_pair_counts_equal_brute_force(spark, heavy_items, heavy_from):
         both = sum(a in s and b in s for s in baskets.values())
         if both >= 3 and max(n[a], n[b]) * 1.5 <= len(baskets):
             want.append((a, b, n[a], n[b], both))
-    got = cooccurrence.pair_counts(df, len(baskets), 3, 1.5, heavy_items, heavy_from, 50)
+    got = cooccurrence.pair_counts(df, len(baskets), 3, 1.5, heavy_items, heavy_from, 50, long_basket=3)
     assert rows(got.select("item_a", "item_b", "n_a", "n_b", "n_ab")) == sorted(want)
 
 
