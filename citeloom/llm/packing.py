@@ -127,7 +127,8 @@ def pack(sized: DataFrame, windows: list[tuple[str, int]], rank_groups: int = RA
         own = F.row_number().over(Window.partitionBy("piece_tokens", "g").orderBy("doc_id", "piece_no")) - 1
         ranked = filled.withColumn("own", own).join(offsets, ["piece_tokens", "g"]).withColumn("rank", F.col("before") + F.col("own"))
         table = spark.createDataFrame(runs or [(0, 0, 0, 0, 1)], "piece_tokens long, first long, items long, container long, per long")
-        # the runs of a size as one row: a document finds its own by binary order within the array
+        # the runs of a size as one row, which a document of that size reads through for its own: sizes that many documents share have few runs,
+        # because equal items fill equal containers a run at a time
         table = table.groupBy("piece_tokens").agg(F.array_sort(F.collect_list(F.struct("first", "items", "container", "per"))).alias("runs"))
         run = F.element_at(F.filter("runs", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") < r["first"] + r["items"])), 1)
         placed = ranked.join(F.broadcast(table), "piece_tokens").withColumn("r", run)  # a row per size: capacity rows at most
