@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.ids import bare_id
 from citeloom.operators.graph import by_confidence
+from citeloom.staging import Stage
 
 #: Origins that count as plain discovery.
 DISCOVERED = ("discovered", "topic_discovered", "discovered_2hop")
@@ -44,6 +45,40 @@ def near_anchors(hops: DataFrame, score: str, k: int = 28) -> DataFrame:
     return hops.orderBy("hops", F.desc_nulls_last(score), "canonical_id").limit(k)
 
 
+def neighbourhood(n: DataFrame, edges: DataFrame, key: str, score: str, k: int = 28) -> DataFrame:
+    """(key, canonical_id, place): up to ``k`` nodes of every result that hang together.
+
+    Nodes (key, canonical_id, score, is_seed): the seeds come first (the three best
+    where there are none), then, breadth first, the neighbours of each node taken, the
+    best scored first and the smaller id among equals; what is left is filled by score.
+    Every round joins the last round's nodes, ``k`` a result at most, with the edges
+    (key, src, dst); seeds are all kept, even more than ``k``.
+    """
+    stage = Stage(n.sparkSession, "neighbourhood")
+    node = stage.put(n.select(key, "canonical_id", F.coalesce(score, F.lit(0.0)).alias("s"), F.coalesce("is_seed", F.lit(False)).alias("seed")).distinct())
+    best = Window.partitionBy(key).orderBy(F.desc("s"), "canonical_id")
+    flagged = node.filter("seed").select(key).distinct()
+    seeds = node.filter("seed").unionByName(node.join(flagged, key, "left_anti").withColumn("_r", F.row_number().over(best)).filter("_r <= 3").drop("_r"))
+    both = edges.select(key, F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(key, F.col("dst").alias("a"), F.col("src").alias("b"))).filter("a <> b").distinct()
+    inner = node.select(key, F.col("canonical_id").alias("b"), "s")
+    near = stage.put(both.join(inner, [key, "b"]))
+    taken = stage.put(seeds.select(key, "canonical_id", F.row_number().over(best).alias("place")))
+    frontier = taken
+    while True:
+        size = taken.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        reached = near.join(frontier.select(key, F.col("canonical_id").alias("a"), "place"), [key, "a"]).join(taken.select(key, F.col("canonical_id").alias("b")), [key, "b"], "left_anti")
+        # a node goes with the first of those that lead to it
+        first = reached.groupBy(key, "b").agg(F.min("place").alias("parent"), F.max("s").alias("s"))
+        order = Window.partitionBy(key).orderBy("parent", F.desc("s"), "b")
+        new = stage.put(first.withColumn("_k", F.row_number().over(order)).join(size, key).filter(F.col("_n") + F.col("_k") <= k).select(key, F.col("b").alias("canonical_id"), (F.col("_n") + F.col("_k")).cast("int").alias("place")))
+        if new.isEmpty():
+            break
+        taken, frontier = stage.put(taken.unionByName(new)), new
+    size = taken.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    rest = node.join(taken.select(key, "canonical_id"), [key, "canonical_id"], "left_anti").withColumn("_k", F.row_number().over(best)).join(size, key).filter(F.col("_n") + F.col("_k") <= k)
+    return taken.unionByName(rest.select(key, "canonical_id", (F.col("_n") + F.col("_k")).cast("int").alias("place")))
+
+
 def visible(n: DataFrame, edges: DataFrame, score: str, least: float, always: Column, hide_weak: bool = True) -> tuple[DataFrame, DataFrame]:
     """Works of at least ``least`` or always shown, and the edges with both ends among them; weak edges are hidden.
 

@@ -122,6 +122,26 @@ def distribution(query: Column) -> Column:
     return F.create_map(*[x for k, v in m.items() for x in (F.lit(k), v / total)])
 
 
+#: Fixed value: the share that a query with two features of hardware gives its intent.
+SPIKE = 0.92
+
+
+def spiked(shares: Column, intent: str, spike: float = SPIKE) -> Column:
+    """A distribution that leaves all intents but one an equal part of the rest."""
+    keys = F.array_union(F.map_keys(shares), F.array(F.lit(intent)))
+    rest = (1.0 - spike) / (F.size(keys) - 1)
+    values = F.transform(keys, lambda k: F.round(F.when(k == intent, F.lit(spike)).otherwise(rest), 4))
+    return F.when(F.size(keys) <= 1, F.create_map(F.lit(intent), F.lit(1.0))).otherwise(F.map_from_arrays(keys, values))
+
+
+def classified(query: Column) -> Column:
+    """struct<intent, confidence, distribution, recency_boost>: two features of hardware sharpen the distribution and boost recency."""
+    strong = (hardware_features(query) >= 2) & ~is_comparison(query)
+    c = classify(query)
+    boost = (hardware_features(query) >= 2) & (c["intent"] == "hardware_system")
+    return F.struct(c["intent"].alias("intent"), c["confidence"].alias("confidence"), F.when(strong, spiked(distribution(query), "hardware_system")).otherwise(distribution(query)).alias("distribution"), boost.alias("recency_boost"))
+
+
 def registry_entry(query: Column) -> Column:
     """The id of the first registry entry that the query matches, else null."""
     q = _q(query)

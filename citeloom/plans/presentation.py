@@ -149,6 +149,11 @@ k as (select *, lower(trim(key)) as lk, row_number() over (partition by lower(tr
     "pending_records": f"""with {_C}, x as (select src, ref_pos::int as ref_pos, key from refs where key is not null and key not in (select key from a)),
 y as (select *, lag(key) over (partition by src order by ref_pos, key) as previous from x), z as (select *, row_number() over (partition by key order by src, ref_pos, previous nulls first) as rn from y)
 select key as canonical_id, 'Pending metadata: ' || key as title, previous from z where rn = 1""",
+    "payload_budget": """with recursive p as (select distinct substring(source_id, 1, 6) as key, concat_ws('/', source, source_id) as name, fetched_unix as pos, coalesce(strlen(payload), 0)::bigint as size from raw_payloads),
+k as (select *, row_number() over (partition by key order by pos nulls first, name, size) as rn from p),
+r(key, rn, name, size, used, kept) as (select key, rn, name, size, if(size <= 20000, size, 0)::bigint, size <= 20000 from k where rn = 1
+  union all select k.key, k.rn, k.name, k.size, if(r.used + k.size <= 20000, r.used + k.size, r.used)::bigint, r.used + k.size <= 20000 from r join k on k.key is not distinct from r.key and k.rn = r.rn + 1)
+select key, name, size, kept from r""",
     "ring_layout": f"""with {_C}, {_DEG}, k as (select canonical_id, row_number() over (order by degree desc, canonical_id) as rank from deg)
 select canonical_id, rank::int as rank, round(if(rank = 1, 0.0, (70 + floor((rank - 2) / 7) * 55) * cos(2 * pi() * ((rank - 2) % 7) / 7)), 4) as x, round(if(rank = 1, 0.0, (70 + floor((rank - 2) / 7) * 55) * sin(2 * pi() * ((rank - 2) % 7) / 7)), 4) as y from k""",
     "query_metrics": f"""with {_R}, t as (select *, row_number() over (partition by query_id order by inbound desc, canonical_id) as k, len(list_intersect({_QTOK}, {_TW.format('title')})) / len({_QTOK}) as hit from r),

@@ -9,6 +9,7 @@ from citeloom.functions import scores as S
 from citeloom.functions.display import venue_topics
 from citeloom.functions.ids import bare_id, bare_id_sql
 from citeloom.operators import branches as B
+from citeloom.operators import expansion as EX
 from citeloom.operators import uploads as U
 from citeloom.operators.ranking import TOPIC_STOP, ranked
 from citeloom.plans.scholarly import _C, _N, _VOC, QUERY, _cites, _nodes
@@ -113,7 +114,14 @@ def title_fits(spark, d):
     return fit.join(best, "canonical_id", "left").select("canonical_id", "fit", F.round("similarity", 6).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (upload_gate, upload_gate_statistics, upload_pool, upload_decisions, node_views, shown_works, node_styles, promoted_anchors, blended_scores, expand_ranks, purity_reports, voted_labels, unexpected_connections, title_fits)}
+def result_neighbourhoods(spark, d):
+    """Up to 28 works of every query that hang together, from its best cited on."""
+    s, e = _signals(spark, d)
+    n = s.select("query_id", "canonical_id", F.col("relevance_raw").alias("score"), (F.col("inbound") >= 6).alias("is_seed"))
+    return EX.neighbourhood(n, e.filter("query_id is not null").select("query_id", "src", "dst"), "query_id", "score")
+
+
+QUERIES = {f.__name__: f for f in (upload_gate, upload_gate_statistics, upload_pool, upload_decisions, node_views, shown_works, node_styles, promoted_anchors, blended_scores, expand_ranks, purity_reports, voted_labels, unexpected_connections, title_fits, result_neighbourhoods)}
 
 _P = f"""with {_N}, p as (select pos, canonical_id, ({_VOC})::double as score, coalesce(year, 0) % 5 = 0 as over, "references" as refs from n)"""
 _LT = "lower(coalesce(title, ''))"

@@ -40,11 +40,24 @@ def leaderboard(df: DataFrame, name: str, score: str, top: int = 30) -> DataFram
     return head.unionByName(lines).unionByName(total).orderBy("pos")
 
 
+def _row(columns: list[str]) -> Column:
+    """A table row of the columns, values escaped."""
+    esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), esc(c), F.lit("</td>")) for c in columns], F.lit("</tr>"))
+
+
 def html_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """(line): a table row per row, values escaped."""
-    esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
-    cells = [F.concat(F.lit("<td>"), esc(c), F.lit("</td>")) for c in columns]
-    return df.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("line"))
+    return df.select(_row(columns).alias("line"))
+
+
+def html_page(df: DataFrame, title: str, columns: list[str], score: str) -> DataFrame:
+    """(html): a page with one table of all rows, the best ``score`` first; for reports of some thousand rows, which one row then holds."""
+    esc = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    ordered = df.select((-F.coalesce(score, F.lit(float("-inf")))).alias("s"), *columns)
+    lines = ordered.select("s", _row(columns).alias("line")).agg(F.array_sort(F.collect_list(F.struct("s", "line"))).alias("l"))
+    head = f"<!doctype html><html><head><meta charset=\"utf-8\"><title>{esc(title)}</title></head><body><h1>{esc(title)}</h1><table><tr>" + "".join(f"<th>{esc(c)}</th>" for c in columns) + "</tr>"
+    return lines.select(F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["line"]), ""), F.lit("</table></body></html>")).alias("html"))
 
 
 def bibtex(nodes: DataFrame) -> DataFrame:

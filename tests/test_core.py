@@ -797,3 +797,53 @@ def test_branch_reports_by_hand(spark):
     e = spark.createDataFrame([(1, "a", "c"), (1, "a", "b")], "q int, src string, dst string")
     assert rows(B.unexpected_connections(df, e, "q", "d")) == [(1, "x", "y", 0.0)]
     assert {(r.q, r.canonical_id) for r in uploads.promoted(df.withColumn("is_hub", F.lit(False)), "q", "topical", "purity").filter("is_hub").collect()} == {(1, "a"), (2, "d")}
+
+
+def test_spiked_distribution(spark):
+    df = spark.createDataFrame([("gpu accelerated tessellation shader hardware pipeline",), ("what is garbage collection",)], "q string")
+    got = df.select(query_intent.classified(F.col("q")).alias("c")).select("c.*").collect()
+    for r, q in zip(got, df.collect()):
+        if r.recency_boost:
+            assert r.distribution["hardware_system"] == query_intent.SPIKE
+        assert sum(r.distribution.values()) == pytest.approx(1, abs=0.01)
+    one = spark.createDataFrame([({"a": 0.5, "b": 0.5},)], "m map<string,double>").select(query_intent.spiked(F.col("m"), "c", 0.9)).first()[0]
+    assert one == {"a": 0.05, "b": 0.05, "c": 0.9}
+
+
+def test_neighbourhood_equals_a_queue(spark):
+    from citeloom.operators import expansion
+
+    rnd = random.Random(2)
+    nodes = [(q, f"n{i:02d}", round(rnd.random(), 2), q == 0 and i in (3, 7)) for q in (0, 1) for i in range(30)]
+    edges = [(q, f"n{rnd.randrange(30):02d}", f"n{rnd.randrange(30):02d}") for q in (0, 1) for _ in range(25)]
+    got = {}
+    for r in expansion.neighbourhood(spark.createDataFrame(nodes, "q int, canonical_id string, score double, is_seed boolean"), spark.createDataFrame(edges, "q int, src string, dst string"), "q", "score", 12).orderBy("place").collect():
+        got.setdefault(r.q, []).append(r.canonical_id)
+    for q in (0, 1):
+        score = {i: s for k, i, s, _ in nodes if k == q}
+        order = lambda ids: sorted(ids, key=lambda i: (-score[i], i))
+        seeds = order([i for k, i, _, f in nodes if k == q and f]) or order(score)[:3]
+        taken, queue = list(seeds), list(seeds)
+        while queue and len(taken) < 12:
+            a = queue.pop(0)
+            for b in order({y if x == a else x for k, x, y in edges if k == q and a in (x, y) and x != y} - set(taken)):
+                if len(taken) < 12:
+                    taken.append(b)
+                    queue.append(b)
+        taken += [i for i in order(score) if i not in taken][: 12 - len(taken)]
+        assert got[q] == taken
+
+
+def test_html_page_and_engine(spark, tmp_path):
+    from citeloom.engine import Engine
+
+    df = spark.createDataFrame([("a<b", 0.2), ("c&d", 0.9), (None, None)], "name string, composite double")
+    page = reports.html_page(df, "R & D", ["name", "composite"], "composite").first().html
+    assert page.index("c&amp;d") < page.index("a&lt;b") and "<title>R &amp; D</title>" in page and page.count("<tr>") == 4
+    e = Engine(spark, "/root/testdata/sf0.001", f"file://{tmp_path}")
+    q = spark.createDataFrame([(1, "machine learning systems")], "query_id int, query string")
+    lists = e.reading_lists(q)
+    assert set(lists.columns) == {"query_id", "section", "label", "pos", "canonical_id", "relevance"} and e.reports(q).count() == 1
+    e.decisions.merge_hint("a", "b", True)
+    assert e.works().count() > 0 and e.search(q).columns == ["query_id", "canonical_id", "score", "rank"]
+    assert e.close() > 0
