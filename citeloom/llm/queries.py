@@ -91,7 +91,46 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("subject").agg(F.count_if(F.col("p") >= 0.5).alias("docs"), F.sum("p").alias("expected"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_bundles": p7_bundles, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_containers": p9_containers, "p10_found": p10_found, "p10_composition": p10_composition}
+def p2_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What p2_found must not hold: pairs out of order or repeated, unknown entries, and groups of which a pair is missing (two of a pair with different numbers of partners)."""
+    p = Stage(spark, "invariants").put(p2_found(spark, d))
+    ends = p.select(F.col("author_no_a").alias("n")).unionByName(p.select(F.col("author_no_b").alias("n"))).groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    unknown = ends.join(table(spark, d, "authors").select(F.col("author_no").alias("n")), "n", "left_anti").agg(F.count(F.lit(1)).alias("unknown"))
+    open_ = p.join(ends.select(F.col("n").alias("author_no_a"), F.col("k").alias("ka")), "author_no_a").join(ends.select(F.col("n").alias("author_no_b"), F.col("k").alias("kb")), "author_no_b")
+    order = p.agg(F.count_if(F.col("author_no_a") >= F.col("author_no_b")).alias("disordered"), (F.count(F.lit(1)) - F.count_distinct("author_no_a", "author_no_b")).alias("repeated"))
+    return order.crossJoin(unknown).crossJoin(open_.agg(F.count_if(F.col("ka") != F.col("kb")).alias("open")))  # three single rows
+
+
+def p5_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What p5_confidence must not hold: pairs out of order or repeated, unknown records, confidences outside 0.5 to 1."""
+    p = Stage(spark, "invariants").put(p5_confidence(spark, d))
+    ids = table(spark, d, "papers").select(F.col("canonical_id").alias("id")).distinct()
+    ends = p.select(F.col("left_id").alias("id")).unionByName(p.select(F.col("right_id").alias("id"))).distinct()
+    unknown = ends.join(ids, "id", "left_anti").agg(F.count(F.lit(1)).alias("unknown"))
+    return p.agg(F.count_if(F.col("left_id") >= F.col("right_id")).alias("disordered"), (F.count(F.lit(1)) - F.count_distinct("left_id", "right_id")).alias("repeated"), F.count_if(~F.col("confidence").between(0.5, 1.0)).alias("outside")).crossJoin(unknown)
+
+
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per window: documents placed, containers above the capacity, documents split although they fit, tokens lost."""
+    stage = Stage(spark, "invariants")
+    placed = stage.put(p9_containers(spark, d))
+    capacity = table(spark, d, "context_windows").select("window_name", "capacity_tokens").distinct()
+    tokens_ = tokens.sizes(table(spark, d, "documents"), Stage(spark, "sizes")).agg(F.sum("n_tokens").alias("all"))
+    full = placed.groupBy("window_name", "container_no").agg(F.sum("piece_tokens").alias("t")).join(F.broadcast(capacity), "window_name").groupBy("window_name").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("overfull"))
+    docs = placed.groupBy("window_name", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("piece_tokens").alias("t")).join(F.broadcast(capacity), "window_name")
+    docs = docs.groupBy("window_name").agg(F.count("doc_id").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("t") <= F.col("capacity_tokens"))).alias("split"), F.sum("t").alias("t"))
+    return docs.join(full, "window_name").crossJoin(F.broadcast(tokens_)).select("window_name", "documents", "overfull", "split", (F.col("all") - F.col("t")).alias("lost"))
+
+
+def p10_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What p10_found must not hold: unknown subjects, repeated rows, documents that are unknown, blank or null."""
+    p = Stage(spark, "invariants").put(p10_found(spark, d))
+    told = table(spark, d, "documents").filter("trim(text) <> ''").select("doc_id").distinct()
+    bare = p.select("doc_id").distinct().join(told, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("bare"))
+    return p.agg(F.count_if(~F.col("subject").isin(_subject_names(spark, d))).alias("unknown"), (F.count(F.lit(1)) - F.count_distinct("doc_id", "subject")).alias("repeated")).crossJoin(bare)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_bundles": p7_bundles, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_containers": p9_containers, "p10_found": p10_found, "p10_composition": p10_composition, "p2_invariants": p2_invariants, "p5_invariants": p5_invariants, "p9_invariants": p9_invariants, "p10_invariants": p10_invariants}
 
 _STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 _P1 = f"""with recursive pairs as (
@@ -147,6 +186,11 @@ best as (select * from (select *, row_number() over (partition by group_id order
 """
 
 SQL = {
+    "p2_invariants": "select 0 as disordered, 0 as repeated, 0 as unknown, 0 as open",
+    "p5_invariants": "select 0 as disordered, 0 as repeated, 0 as outside, 0 as unknown",
+    "p9_invariants": "select window_name, (select count(distinct doc_id) from documents) as documents, 0 as overfull, 0 as split, 0 as lost from (select distinct window_name from context_windows)",
+    "p10_invariants": "select 0 as unknown, 0 as repeated, 0 as bare",
+    "p8_round_trip": "select kind, count(*) as docs, count(*) as unchanged from documents group by kind",
     "p7_bundles": _P7_BUNDLES + "select group_id, 'abstract' as bundle, rx as record_id from best where rx is not null union all select group_id, 'published', ry from best where ry is not null",
     "p1_found": _P1 + "select min(other) as group_id, node as record_id from reach group by node",
     "p7_found": _P7 + "select group_id, field_name, record_id from (select *, row_number() over (partition by group_id, field_name order by conf desc, src desc, newest desc nulls last, record_id) as rn from c) where rn = 1",
