@@ -40,8 +40,8 @@ CALIBRATE = 20_000
 FOLDS = 3
 #: Words without any meaning that every document is taken to hold besides its own, so that a text that tells next to nothing has no large share.
 SILENT_WORDS = 2.0
-#: Words and pairs that a Python worker takes at once (documents are not parted): bounds its memory.
-RUN = 200_000
+#: Words that a Python worker takes at once (documents are not parted): bounds its memory.
+RUN = 100_000
 
 
 def sentences(text: Column) -> Column:
@@ -52,16 +52,13 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.filter(F.split(s, r"[^\p{L}]+"), lambda w: F.length(w) >= 3)), lambda s: F.size(s) > 0)
 
 
-def features(text: Column, buckets: int = BUCKETS) -> Column:
-    """struct<f, n, lang>: the buckets of the words and pairs of neighbouring words, sentence after sentence; how many each sentence has; the language."""
+def _hash(w: Column) -> Column:
+    return F.pmod(F.xxhash64(w), F.lit(1 << 31)).cast("int")
 
-    def hashed(s: Column) -> Column:
-        one = F.transform(s, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-        two = F.transform(s, lambda w, i: F.when(F.get(s, i + 1).isNotNull(), F.pmod(F.xxhash64(w, F.get(s, i + 1)), F.lit(buckets)).cast("int")))
-        return F.concat(one, F.array_compact(two))
 
-    # a sentence of w words has w - 1 pairs
-    return let(sentences(text), lambda s: F.struct(F.flatten(F.transform(s, hashed)).alias("f"), F.transform(s, lambda x: F.size(x) * 2 - 1).alias("n"), language(F.flatten(s)).alias("lang")))
+def features(text: Column) -> Column:
+    """struct<f, n>: hashes of the words, sentence after sentence; how many words each sentence has."""
+    return let(sentences(text), lambda s: F.struct(F.transform(F.flatten(s), _hash).alias("f"), F.transform(s, F.size).alias("n")))
 
 
 #: Frequent words by which a text's language is told, so that a language's common words are not taken
@@ -74,39 +71,48 @@ LANGUAGES = (
 )
 
 
-def language(words: Column) -> Column:
-    """The class of ``LANGUAGES`` most of whose words a text has; the number of classes if none."""
-    n = [F.size(F.filter(words, _one_of(m))) for m in LANGUAGES]
-    best = F.greatest(*n)
-    c = F.lit(len(LANGUAGES))
-    for i in reversed(range(len(n))):
-        c = F.when((n[i] == best) & (best > 0), i).otherwise(c)
-    return c
-
-
-def _one_of(words: tuple[str, ...]):
-    return lambda w: w.isin(*words)
+def language_hashes(spark) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, classes) of the words of ``LANGUAGES``, by hash."""
+    words = [(w, c) for c, ws in enumerate(LANGUAGES) for w in ws]
+    rows = spark.createDataFrame(words, "w string, c int").select(_hash(F.col("w")).alias("h"), "c").collect()
+    rows = sorted({r["h"]: r["c"] for r in rows}.items())
+    return np.array([h for h, _ in rows], dtype=np.int32), np.array([c for _, c in rows], dtype=np.int32)
 
 
 class Run:
-    """Some documents of a batch: buckets of their words, the sentence of each, the document of each sentence."""
+    """Some documents of a batch: buckets of their words and pairs of neighbouring words, the sentence of each, the document of each sentence."""
 
-    def __init__(self, rows: slice, flat: np.ndarray, of: np.ndarray, doc: np.ndarray):
-        self.rows, self.flat, self.of, self.doc = rows, flat, of, doc
+    def __init__(self, rows: slice, words: np.ndarray, sizes: np.ndarray, doc: np.ndarray, buckets: int):
+        self.rows, self.words, self.doc = rows, words, doc
         self.docs, self.sentences = rows.stop - rows.start, len(doc)
-
-
-def runs(f: pa.Array, n: pa.Array, most: int = RUN) -> Iterator[Run]:
+        of = np.repeat(np.arange(self.sentences, dtype=np.int32), sizes)
+        self.word_of = of
+        within = np.nonzero(of[1:] == of[:-1])[0]
+        w = words.astype(np.uint32)
+        two = w[within] * np.uint32(0x9E3779B1) ^ w[within + 1] * np.uint32(0x85EBCA6B)
+        two ^= two >> np.uint32(15)
+        self.flat = np.concatenate([w % np.uint32(buckets), two % np.uint32(buckets)]).astype(np.int32)
+        self.of = np.concatenate([of, of[within]])
+
+    def languages(self, hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """The class of ``LANGUAGES`` most of whose words each document has; the number of classes if none."""
+        k = len(LANGUAGES)
+        at = np.minimum(np.searchsorted(hashes, self.words), len(hashes) - 1)
+        known = np.nonzero(hashes[at] == self.words)[0]
+        n = np.bincount(self.doc[self.word_of[known]] * k + classes[at[known]], minlength=self.docs * k).reshape(-1, k)
+        return np.where(n.any(axis=1), n.argmax(axis=1), k)
+
+
+def runs(f: pa.Array, n: pa.Array, buckets: int, most: int = RUN) -> Iterator[Run]:
     """The documents of two Arrow columns in runs of at most ``most`` words; a longer document is a run of its own."""
     fo, no = f.offsets.to_numpy(), n.offsets.to_numpy()
     start, rows = 0, len(f)
     while start < rows:
         stop = max(int(np.searchsorted(fo, fo[start] + most, "right")) - 1, start + 1)
-        flat = f.values[fo[start] : fo[stop]].to_numpy(zero_copy_only=False)
+        words = f.values[fo[start] : fo[stop]].to_numpy(zero_copy_only=False)
         sizes = n.values[no[start] : no[stop]].to_numpy(zero_copy_only=False)
-        if len(flat):
-            doc = np.repeat(np.arange(stop - start, dtype=np.int32), np.diff(no[start : stop + 1]))
-            yield Run(slice(start, stop), flat, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), doc)
+        if len(words):
+            yield Run(slice(start, stop), words, sizes, np.repeat(np.arange(stop - start, dtype=np.int32), np.diff(no[start : stop + 1])), buckets)
         start = stop
 
 
@@ -156,15 +162,16 @@ def count_words(docs: DataFrame, k: int, weights: np.ndarray | None, buckets: in
     langs = len(LANGUAGES) + 1
     names = [f"c{i}" for i in range(k + langs)]
     columns = None if weights is None else np.asfortranarray(weights)
+    hashes, classes = language_hashes(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k + langs, buckets + langs))
         for b in batches:
-            masks, lang = b.column("labels").to_numpy(zero_copy_only=False), b.column("lang").to_numpy(zero_copy_only=False)
-            for r in runs(b.column("f"), b.column("n")):
+            masks = b.column("labels").to_numpy(zero_copy_only=False)
+            for r in runs(b.column("f"), b.column("n"), buckets):
                 allowed = _allowed(masks[r.rows], k)[r.doc]
                 p = allowed / allowed.sum(axis=1, keepdims=True) if columns is None else posteriors(r, columns, allowed)
-                spoken = lang[r.rows][r.doc][r.of]
+                spoken = r.languages(hashes, classes)[r.doc][r.of]
                 for i in range(k):
                     share = p[:, i][r.of]
                     total[i, :buckets] += np.bincount(r.flat, weights=share, minlength=buckets)
@@ -176,7 +183,7 @@ def count_words(docs: DataFrame, k: int, weights: np.ndarray | None, buckets: in
             part = at[i : i + 16_384]
             yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array(c[part]) for c in total]], names=["b", *names])
 
-    few = docs.select("f", "n", "labels", "lang").coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
+    few = docs.select("f", "n", "labels").coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
     rows = few.mapInArrow(run, "b int, " + ", ".join(f"{c} double" for c in names))
     got = rows.groupBy("b").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # the rows of the model
     out = np.zeros((buckets + langs, k + langs))
@@ -223,7 +230,7 @@ def document_shares(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in runs(b.column("f"), b.column("n")):
+            for r in runs(b.column("f"), b.column("n"), len(columns)):
                 x = shares(r, columns)
                 at = pa.array(np.repeat(np.arange(r.rows.start, r.rows.stop), k))
                 yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in keep], pa.array(np.tile(np.arange(k, dtype=np.int32), r.docs)), pa.array(x.ravel())], names=[*keep, "i", "share"])
@@ -291,9 +298,9 @@ def classify(documents: DataFrame, labels: DataFrame, names: list[str], rounds:
     stage = Stage(spark, "subjects")
     bit = F.coalesce(*[F.when(F.col("subject") == s, F.lit(1 << i)) for i, s in enumerate(names)])
     masks = labels.filter(F.col("subject").isin(names)).select("doc_id", bit.alias("bit")).groupBy("doc_id").agg(F.bit_or("bit").cast("long").alias("labels"))
-    docs = documents.select("doc_id", features(F.col("text"), buckets).alias("x")).select("doc_id", "x.*")
+    docs = documents.select("doc_id", features(F.col("text")).alias("x")).select("doc_id", "x.*")
     # filtered after it is written: a filter on the features would compute them twice
-    docs = stage.put(docs.join(masks, "doc_id", "left").select("doc_id", "f", "n", "lang", F.coalesce("labels", F.lit(0)).alias("labels"))).filter("size(f) > 0")
+    docs = stage.put(docs.join(masks, "doc_id", "left").select("doc_id", "f", "n", F.coalesce("labels", F.lit(0)).alias("labels"))).filter("size(f) > 0")
     known = stage.put(docs.filter("labels > 0"))
     counts = count_words(known, k, None, buckets)
     if not counts.sum():
