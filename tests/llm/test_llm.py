@@ -322,6 +322,17 @@ def test_survivors(spark, papers):
     assert rows(both) == [("g", "abstract", "arxiv:1"), ("g", "published", "arxiv:1")]
 
 
+def test_bundles_without_dependencies_are_searched(spark):
+    """No candidate is chosen before the search: of every bundle all values come to it whose bound reaches the best record."""
+    data = [("g", "r1", "x", None, 3, 1), ("g", "r2", "y", "p", 2, 2), ("g", "r3", "z", "q", 1, 1), ("g", "r4", "y", "q", 2, 3)]
+    m = spark.createDataFrame(data, "group_id string, record_id string, a string, b string, trust_a int, trust_b int").withColumns({"source_rank": F.lit(1), "fetched_at": F.lit(None).cast("timestamp"), "ok_a": F.lit(True), "ok_b": F.col("b").isNotNull()})
+    bundles = {"a": ("a",), "b": ("b",)}
+    found = survivors.search_space(m, bundles).first()
+    # r4 by itself is worth 3 + 4: of bundle a, x (4 + 4) and y (3 + 4, r2 before r4) may be as good, z (2 + 4) not; of b, p (3 + 4) and q (4 + 4)
+    assert sorted((x["i"], x["record_id"]) for x in found["c"]) == [(0, "r1"), (0, "r2"), (1, "r2"), (1, "r4")]
+    assert rows(survivors.best_bundles(m, bundles)) == [("g", "a", "r1"), ("g", "b", "r4")]
+
+
 _record = st.tuples(*[st.one_of(st.none(), st.tuples(st.sampled_from(v), st.integers(1, 4), st.integers(0, 2))) for v in ("xyz", "pqr", "uvw")])
 
 
