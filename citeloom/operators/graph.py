@@ -3,7 +3,7 @@
 Edges are bags (two references to one work are two edges); couplings count
 distinct neighbours.  Works cited by a large share of all papers are the hot keys
 here: reference resolution salts them, and coupling leaves them to the suffix
-that prefix filtering may skip.
+that prefix filtering may skip, or cuts their lists of citers into blocks.
 """
 
 from __future__ import annotations
@@ -76,11 +76,11 @@ def coupling(edges: DataFrame, min_shared: int = 2, key: str = "dst") -> DataFra
     rarest first, two papers that share k of them share one among all but the last
     k - 1, so the most cited works need not make pairs.  Candidates are verified on
     the full lists.  For a single shared reference every pair counts and there is
-    nothing to filter: the pairs are counted as they come.
+    nothing to filter: see ``coupled_blocks``.
     """
     e = edges.select("src", F.col(key).alias("dst")).distinct()
     if min_shared <= 1:
-        return e.select("dst", F.col("src").alias("a")).join(e.select("dst", F.col("src").alias("b")), "dst").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+        return coupled_blocks(e)
     df = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
     shared = df.filter("n > 1")
     lists = salted_join(e, shared, "dst", "inner", spread="src").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("n", "dst"))).alias("l"))
@@ -91,6 +91,30 @@ def coupling(edges: DataFrame, min_shared: int = 2, key: str = "dst") -> DataFra
     return full.select("a", "b", F.size(F.array_intersect("la", "lb")).cast("long").alias("shared")).filter(F.col("shared") >= min_shared)
 
 
+#: Pairs, counted once for every work they share, that one task makes on average.
+TASK_PAIRS = 1_000_000
+
+
+def coupled_blocks(e: DataFrame, task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """(a, b, shared), a < b: every pair of papers that share a reference; ``e`` holds distinct (src, dst).
+
+    Pairs are made where they are counted and never shuffled: papers fall into blocks,
+    each work sends the lists of its citers to every two blocks that both cite it, and
+    the task of these two blocks sees all that a pair shares.  A work with n citers
+    moves n times the number of blocks instead of n * n / 2 pairs.
+    """
+    e = Stage(e.sparkSession, "coupling").put(e)
+    total = e.groupBy("dst").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0.0
+    tasks = max(int(total // task_pairs) + 1, int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # sixteen times as many pairs of blocks as tasks even these out
+    blocks = int((32 * tasks) ** 0.5) + 1
+    lists = e.groupBy("dst", F.pmod(F.xxhash64("src"), F.lit(blocks)).cast("int").alias("k")).agg(F.collect_list("src").alias("l"))
+    x, y = lists.select("dst", F.col("k").alias("kx"), F.col("l").alias("lx")), lists.select("dst", F.col("k").alias("ky"), F.col("l").alias("ly"))
+    met = x.join(y.hint("merge"), "dst").filter("kx < ky or kx = ky and size(lx) > 1").select((F.col("kx") * blocks + F.col("ky")).alias("k"), (F.col("kx") == F.col("ky")).alias("own"), "lx", "ly")
+    p = met.repartition(tasks, "k").select("k", "own", F.explode("lx").alias("p"), "ly").select("k", "own", "p", F.explode("ly").alias("q")).filter("not own or p < q")
+    return p.groupBy("k", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count(F.lit(1)).alias("shared")).drop("k")
+
+
 def strong_coupling_edges(edges: DataFrame, raw_refs: DataFrame, min_shared: int = 3) -> DataFrame:
     """Synthetic (a, b, shared) edges: papers that share raw bare references but cite each other in neither direction."""
     direct = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()

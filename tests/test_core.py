@@ -442,6 +442,24 @@ def test_pairs_that_share_one_or_two_works(spark, papers, tmp_path, name, pairs)
     assert {(r["a"], r["b"], r["shared"]) for r in entry.queries()[name](spark, str(tmp_path)).collect()} == pairs
 
 
+def test_coupling_blocks_equal_brute_force_and_shuffle_no_pairs(spark):
+    import itertools
+    import random
+
+    from citeloom.operators import graph as G
+
+    rnd = random.Random(3)
+    cites = {f"p{i:02d}": {"hot", *rnd.sample("uvwxyz", rnd.randint(0, 4))} for i in range(60)} | {"lone": {"alone"}}
+    e = spark.createDataFrame([(a, x) for a, xs in cites.items() for x in xs], "src string, dst string")
+    got = G.coupling(e, 1)
+    assert {(r.a, r.b): r.shared for r in got.collect()} == {(a, b): len(cites[a] & cites[b]) for a, b in itertools.combinations(sorted(cites), 2) if cites[a] & cites[b]}
+    assert G.coupled_blocks(e.distinct(), 100).count() == got.count()
+    assert G.coupling(e.filter("false"), 1).count() == 0
+    # what the counting reads is already where it is counted
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" not in plan and "hashpartitioning(least(" not in plan
+
+
 def test_seeds_keep_their_sixth_reference_and_citer(spark, papers, tmp_path):
     import __spark_entry__ as entry
 
