@@ -245,6 +245,26 @@ def test_propagation_equals_brute_force(spark):
     assert got[1, 2] > 0.9 and got[1, 3] < 0.6
 
 
+def test_candidates_equal_brute_force_with_hot_keys(spark):
+    """No pair whose shared keys weigh enough is lost, however many records have its keys."""
+    rnd = random.Random(11)
+    words, people = "abcdefghijklmn", "opqrstuvwxyz"
+    title = lambda: [(9, w, 1.0) for w in sorted(rnd.sample(words, 7))]
+    data = [(i, title(), [(9, n, 1.0) for n in sorted(rnd.sample(people, rnd.choice((0, 0, 2, 3))))], [f"i{i % 11}"] if i % 4 == 0 else [], [], None, rnd.choice((None, 2001, 2002))) for i in range(60)]
+    s = "array<struct<df:long,t:string,w:double>>"
+    r = spark.createDataFrame(data, f"rid long, title {s}, names {s}, ids array<string>, sentences array<long>, venue string, year int")
+    keys = matching.blocking_keys(r).cache()
+    own: dict = {}
+    for x in keys.collect():
+        own.setdefault(x.rid, {})[x.key] = x.w
+    pairs = list(itertools.combinations(range(60), 2))
+    want = {(a, b) for a, b in pairs if sum(w for k, w in own[a].items() if k in own[b]) >= matching.ENOUGH}
+    for common in (1, 2, 4, 8, 64):
+        got = {tuple(x) for x in matching.candidate_pairs(keys, r, Stage(spark, "t"), common).collect()}
+        assert want <= got, common
+    assert got == want and len(want) < len(pairs)
+
+
 def test_short_title_meets_its_longer_form(spark, papers):
     rows_ = [
         paper("arxiv:1", 0, title="Código fuente y modelos de lenguaje", year=2020), paper("doi:1", 1, title="Código fuente y modelos de lenguaje: el caso de Funsinfa para motores antiguos", year=2012),
