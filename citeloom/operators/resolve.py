@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.ids import bare_id, blank_to_null
-from citeloom.operators.ranking import title_ratio
 from citeloom.operators.skew import salted_join
 from citeloom.operators.stars import contracted
+from citeloom.operators.titles import near_titles
 from citeloom.staging import Stage
 
 #: Trust in the sources for identifiers.
@@ -52,27 +52,12 @@ def title_links(n: DataFrame, least: float = 0.92) -> DataFrame:
     """(a, b): records whose lower-case titles are equal or have a matching ratio of ``least`` or more.
 
     Equal titles hang on the smallest of their records; only distinct titles are
-    compared.  Candidates share one of the rarest words of either title, as many of
-    these as it takes for two titles that share half of their words to have one in
-    common; their lengths must allow the ratio.  Titles that share less than half of
-    their words and still reach the ratio (many words misspelt at once) are not found.
+    compared, each with every other (see ``titles.near_titles``).
     """
     t = n.select("canonical_id", F.lower("title").alias("t")).filter("trim(t) <> ''")
     reps = Stage(n.sparkSession, "titles").put(t.groupBy("t").agg(F.min("canonical_id").alias("rep")))
     same = salted_join(t, reps, "t", "inner", spread="canonical_id").filter("rep <> canonical_id").select(F.col("rep").alias("a"), F.col("canonical_id").alias("b"))
-    words = F.array_distinct(F.filter(F.split("t", r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    w = reps.select("rep", F.length("t").alias("len"), F.explode(words).alias("w"))
-    df = w.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    lists = salted_join(w, df.filter("df > 1"), "w", "left", spread="rep").groupBy("rep", "len").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "w"))).alias("l"))
-    # of k words one may miss half and still share one of the first k // 2 + 1; words of one title alone are shared by none
-    prefix = lists.select("rep", "len", F.explode(F.filter(F.slice("l", F.lit(1), F.floor(F.size("l") / 2).cast("int") + 1), lambda x: x["df"] > 1)).alias("x")).select("rep", "len", F.col("x.w").alias("w"))
-    a, b = prefix.select("w", F.col("rep").alias("a"), F.col("len").alias("la")), prefix.select("w", F.col("rep").alias("b"), F.col("len").alias("lb"))
-    c = a.join(b, "w").filter((F.col("a") < F.col("b")) & (2.0 * F.least("la", "lb") >= least * (F.col("la") + F.col("lb")))).select("a", "b").distinct()
-    full = c.join(reps.select(F.col("rep").alias("a"), F.col("t").alias("ta")), "a").join(reps.select(F.col("rep").alias("b"), F.col("t").alias("tb")), "b")
-    # letters that the other title lacks match nothing
-    lone = F.expr("length(translate(ta, tb, '')) + length(translate(tb, ta, ''))")
-    full = full.filter(F.length("ta") + F.length("tb") - lone >= least * (F.length("ta") + F.length("tb")))
-    return same.unionByName(full.filter(title_ratio("ta", "tb") >= least).select("a", "b"))
+    return same.unionByName(near_titles(reps, least))
 
 
 def merged_records(n: DataFrame, feedback: DataFrame, titles: bool = False) -> DataFrame:

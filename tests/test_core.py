@@ -474,6 +474,25 @@ def test_seeds_keep_their_sixth_reference_and_citer(spark, papers, tmp_path):
 # --- titles, stars, display lines, diagnostics, metrics ---------------------------------------------------------
 
 
+def test_title_links_need_no_common_word(spark):
+    n = spark.createDataFrame([("a", "Enzymes dietary fibres"), ("b", "enzyme dietary fibre"), ("c", "Enzymes, dietary fears"), ("d", "é" * 40), ("e", "é" * 39), ("f", None)], "canonical_id string, title string")
+    assert rows(resolve.title_links(n)) == [("a", "b"), ("d", "e")]
+
+
+def test_close_titles_hold_all_near_ones():
+    import difflib
+
+    from citeloom.operators import titles as T
+
+    rnd = random.Random(5)
+    base = ["".join(rnd.choice("abcdeé \u4e2d") for _ in range(rnd.randint(1, 60))) for _ in range(40)]
+    told = base + ["".join(c for c in b if rnd.random() > 0.06) or "x" for b in base] + ["a" * 70, "a" * 64, "z" * 150 + "b" * 100, "z" * 150 + "b" * 99]
+    for least in (0.5, 0.8, 0.92):
+        want = {(i, j) for i in range(len(told)) for j in range(i + 1, len(told)) if difflib.SequenceMatcher(a=told[i], b=told[j]).ratio() >= least}
+        assert want <= set(T.close_pairs(told, told, least, True))
+        assert want <= {(i, j + 30) for i, j in T.close_pairs(told[:30], told[30:], least)} | {p for p in want if (p[0] < 30) == (p[1] < 30)}
+
+
 def test_title_links_equal_brute_force(spark):
     import difflib
 
