@@ -493,6 +493,27 @@ def test_close_titles_hold_all_near_ones():
         assert want <= {(i, j + 30) for i, j in T.close_pairs(told[:30], told[30:], least)} | {p for p in want if (p[0] < 30) == (p[1] < 30)}
 
 
+def test_best_ratios_equal_brute_force_with_few_ratios(monkeypatch):
+    import difflib
+    import re
+
+    from citeloom.operators import titles as T
+
+    rnd = random.Random(9)
+    vocabulary = ["".join(rnd.choice("abcdefgéß中") for _ in range(rnd.randint(2, 9))) for _ in range(60)]
+    told = [" ".join(rnd.sample(vocabulary, n)) for n in (1, 3, 6, 9, 14, 25, 50) for _ in range(50)] + ["graph " * 40]
+    words = lambda s: {w for w in re.split(r"\W+", s) if len(w) > 3}
+    x, y = told[::3], [t for i, t in enumerate(told) if i % 3]
+    want = [max((difflib.SequenceMatcher(a=p, b=q).ratio() for q in y if words(p) & words(q)), default=0.0) for p in x]
+    done = []
+    ratio = T.Ratios.ratio
+    monkeypatch.setattr(T.Ratios, "ratio", lambda self, t, j: done.append(j) or ratio(self, t, j))
+    r = T.Ratios(y, [words(q) for q in y])
+    assert [r.best(p, words(p)) for p in x] == want
+    assert len(done) < sum(bool(words(p) & words(q)) for p in x for q in y) / 5
+    assert T.Ratios([], []).best("abcd", {"abcd"}) == 0.0
+
+
 def test_title_links_equal_brute_force(spark):
     import difflib
 
