@@ -245,6 +245,20 @@ def test_propagation_equals_brute_force(spark):
     assert got[1, 2] > 0.9 and got[1, 3] < 0.6
 
 
+def test_judge_looks_at_a_token_once(monkeypatch):
+    """How a token looks is found out once for all pairs it is in, and words that differ at both ends get no distance."""
+    seen, near = [], []
+    look, within = names._seen, names.within
+    monkeypatch.setattr(names, "_seen", lambda t: seen.append(t) or look(t))
+    monkeypatch.setattr(names, "within", lambda a, b, d: near.append((a, b)) or within(a, b, d))
+    fit = names.Judge()
+    forms = ["maria castorp", "maria settembrini", "m castorp", "maria castrop", "peeperkorn maria"]
+    got = [[fit(f, g) > 0 for g in forms] for f in forms]
+    assert [sum(r) for r in got] == [3, 1, 3, 3, 1]
+    assert sorted(seen) == sorted({t for f in forms for t in f.split()})
+    assert ("castorp", "maria") not in near and ("castorp", "castrop") in near
+
+
 def test_candidates_equal_brute_force_with_hot_keys(spark):
     """No pair whose shared keys weigh enough is lost, however many records have its keys."""
     rnd = random.Random(11)
