@@ -279,6 +279,38 @@ def test_candidates_equal_brute_force_with_hot_keys(spark):
     assert got == want and len(want) < len(pairs)
 
 
+def test_hot_keys_add_no_pairs(spark):
+    """However few records make a key hot, candidates are those whose shared keys weigh enough, not one more; four words in a year are enough."""
+    title = lambda ws: [(9, w, 1.0) for w in sorted(ws)]
+    name = lambda *ns: [(9, n, 1.0) for n in sorted(ns)]
+    data = [
+        (1, title("abcdex"), name("o", "p"), [], [], None, 2001), (2, title("abcdfy"), name("o", "q"), [], [], None, 2002), (3, title("abghz"), name("o", "p"), [], [], None, 2001),
+        (4, title("abcduv"), name("s"), [], [], None, 2001), (5, title("abcuv"), name("t"), [], [], None, 2004), (6, title("abcghi"), name("s", "t"), [], [], None, 2004),
+    ]
+    s = "array<struct<df:long,t:string,w:double>>"
+    r = spark.createDataFrame(data, f"rid long, title {s}, names {s}, ids array<string>, sentences array<long>, venue string, year int")
+    for common in (1, 64):
+        got = {tuple(x) for x in matching.candidate_pairs(matching.blocking_keys(r, threes=False), r, Stage(spark, "t"), common).collect()}
+        # 1, 2: four words and a name; 1, 3: two names, two words, a year; 1, 4: four words and a year; 4, 5: five words; 5, 6 and 4, 6: three words and a name with three of them
+        assert got == {(1, 2), (1, 3), (1, 4), (4, 5), (4, 6), (5, 6)}, common
+
+
+def test_letters_turn_down_no_near_words(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.randint(3, 11)))
+
+    def slip(w):
+        i, x = rnd.randrange(len(w)), rnd.choice("abcdefgxyz")
+        return rnd.choice((w[:i] + x + w[i + 1:], w[:i] + w[i + 1:], w[:i] + x + w[i:], w[:i] + w[i:i + 2][::-1] + w[i + 2:]))
+
+    words_ = [w for x in (word() for _ in range(60)) for w in (x, slip(x), slip(slip(x)))]
+    r = spark.createDataFrame([(i, [w]) for i, w in enumerate(words_)], "rid long, title array<string>")
+    one = matching.weighed(r, "title", len(words_), Stage(spark, "t")).select(F.col("title")[0].alias("x")).distinct()
+    both = one.crossJoin(one.select(F.col("x").alias("y"))).filter(matching.near(F.col("x.t"), F.col("y.t")))
+    n = both.agg(F.count(F.lit(1)), F.count_if(~matching._may_be_near(F.col("x"), F.col("y")))).first()
+    assert n[0] > len(words_) and n[1] == 0
+
+
 def test_short_title_meets_its_longer_form(spark, papers):
     rows_ = [
         paper("arxiv:1", 0, title="Código fuente y modelos de lenguaje", year=2020), paper("doi:1", 1, title="Código fuente y modelos de lenguaje: el caso de Funsinfa para motores antiguos", year=2012),
